@@ -6,7 +6,7 @@ parts merge by the larger register, and equal registers become likelier with the
 Jaccard similarity.  Documents that agree in a band of registers meet in a bucket;
 within a bucket the Jaccard similarity of two sketches is estimated jointly with
 the known set sizes by maximum likelihood, and what may reach the threshold is
-verified on the full sets of words.
+verified on the full sets of words, unless verified links connect it already.
 
 Exact copies of a set are one node from the start.  A bucket is dealt out in
 blocks of BLOCK rows, so no task ever holds more than two blocks of it, and
@@ -77,71 +77,96 @@ def likelihood_jaccard(lower: np.ndarray, higher: np.ndarray, n_a: np.ndarray, n
     return grid[np.arange(len(grid)), score.argmax(axis=1)]
 
 
-def likely(regs: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which of the pairs i, j reach `least` by the joint estimate."""
-    keep = np.zeros(len(i), bool)
+def estimates(regs: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Joint estimates of the pairs i, j; 0 where too few registers agree for `least`."""
+    out = np.zeros(len(i))
     for k in range(0, len(i), 4096):
         a, b = i[k : k + 4096], j[k : k + 4096]
         near = np.flatnonzero((regs[a] == regs[b]).sum(1) >= REGISTERS * (least - 0.15))
-        if not len(near):
-            continue
-        a, b = a[near], b[near]
-        est = likelihood_jaccard((regs[a] < regs[b]).sum(1), (regs[a] > regs[b]).sum(1), sizes[a].astype(float), sizes[b].astype(float))
-        keep[k + near] = est >= least
-    return keep
-
-
-def _bucket_pairs(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, own: bool, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs of one bucket; between the two blocks only, unless it is a block's own turn."""
-    left = np.arange(len(regs)) if own else np.flatnonzero(side == side.min())
-    right = left if own else np.flatnonzero(side != side.min())
-    out_i, out_j = [], []
+        if len(near):
+            a, b = a[near], b[near]
+            out[k + near] = likelihood_jaccard((regs[a] < regs[b]).sum(1), (regs[a] > regs[b]).sum(1), sizes[a].astype(float), sizes[b].astype(float))
+    return out
+
+
+def _agreeing(regs: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows left and right with enough equal registers, a few rows at a time."""
+    found = [(left[:0], left[:0])]
     for k in range(0, len(left), 32):
         rows = left[k : k + 32]
         equal = (regs[rows][:, None, :] == regs[right][None, :, :]).sum(2)
-        fits = np.minimum(sizes[rows][:, None], sizes[right]) >= threshold * np.maximum(sizes[rows][:, None], sizes[right])
-        x, y = np.nonzero(fits & (equal >= REGISTERS * (least - 0.15)) & ((rows[:, None] < right) if own else True))
-        out_i.append(rows[x])
-        out_j.append(right[y])
-    i, j = np.concatenate(out_i or [left[:0]]), np.concatenate(out_j or [left[:0]])
-    keep = likely(regs, sizes, i, j, least)
-    return i[keep], j[keep]
+        x, y = np.nonzero(equal >= REGISTERS * (least - 0.15))
+        found.append((rows[x], right[y]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _root(parent: dict, x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
 
+def _compare(width: int, percent: int, least: float, rows: int):
+    """Verified links of rows sorted by (bucket, x, y); holds the two blocks of one bucket at a time.
 
-def _compare(threshold: float, least: float):
-    """Runs over rows sorted by (bucket, x, y); holds one block pair at a time."""
+    A pair is judged in the first band it shares, in falling order of its estimate,
+    and only while verified links don't connect it yet: the links are a forest.
+    """
+    threshold, count = percent / 100, REGISTERS // rows
 
-    def pairs_of(frame: pd.DataFrame) -> tuple[list, list]:
+    def candidates(frame: pd.DataFrame, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = frame[["bucket", "x", "y"]].to_numpy()
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
+        side, own, sizes = frame["block"].to_numpy(), key[:, 1] == key[:, 2], np.diff(cut)
+        group, few = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= 8, sizes)
+        found = []
+        for lag in range(1, min(8, len(frame))):
+            i = np.flatnonzero(few[:-lag] & (group[:-lag] == group[lag:]) & (own[:-lag] | (side[:-lag] != side[lag:])))
+            found.append((i, i + lag))
+        for k in np.flatnonzero(sizes > 8):
+            at = np.arange(cut[k], cut[k + 1])
+            if own[at[0]]:
+                i, j = _agreeing(regs, at, at, least)
+                found.append((i[i < j], j[i < j]))
+            else:
+                low = side[at] == key[at[0], 1]
+                found.append(_agreeing(regs, at[low], at[~low], least))
+        return np.concatenate([x for x, _ in found]).astype(int), np.concatenate([y for _, y in found]).astype(int)
+
+    def links(frame: pd.DataFrame, hashes: WordHashes) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(frame["regs"]), np.uint8).reshape(-1, REGISTERS)
-        node, n, side = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["block"].to_numpy()
-        out_a, out_b = [], []
-        sizes = np.diff(cut)
-        small = np.repeat(sizes <= 8, sizes)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        own = key[:, 1] == key[:, 2]
-        for lag in range(1, 8):
-            if lag >= len(frame):
+        node, n, text = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["text"].to_numpy()
+        band = frame["bucket"].to_numpy() & 63
+        i, j = candidates(frame, regs) if len(frame) > 1 else (np.zeros(0, int), np.zeros(0, int))
+        fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        first = np.zeros(len(i), bool)
+        for k in range(0, len(i), 4096):
+            a, b = i[k : k + 4096], j[k : k + 4096]
+            agree = (regs[a, : count * rows] == regs[b, : count * rows]).reshape(len(a), count, rows).all(2)
+            first[k : k + 4096] = agree.argmax(1) == band[a]
+        i, j = i[first], j[first]
+        est = estimates(regs, n, i, j, least)
+        items, parent, out = {}, {}, []
+        for k in np.argsort(-est, kind="stable"):
+            if est[k] < least:
                 break
-            i = np.flatnonzero(small[:-lag] & (group[:-lag] == group[lag:]) & (own[:-lag] | (side[:-lag] != side[lag:])))
-            j = i + lag
-            fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
-            i, j = i[fits], j[fits]
-            keep = likely(regs, n, i, j, least)
-            out_a.append(node[i[keep]])
-            out_b.append(node[j[keep]])
-        for k in np.flatnonzero(sizes > 8):
-            s = slice(cut[k], cut[k + 1])
-            if not own[cut[k]] and len(np.unique(side[s])) < 2:
+            a, b = node[i[k]], node[j[k]]
+            if _root(parent, a) == _root(parent, b):
                 continue
-            i, j = _bucket_pairs(regs[s], n[s], side[s], bool(own[cut[k]]), threshold, least)
-            out_a.append(node[s][i])
-            out_b.append(node[s][j])
-        return out_a, out_b
+            for at in (i[k], j[k]):
+                if node[at] not in items:
+                    items[node[at]] = shingles(text[at], width, hashes)
+            x, y = items[a], items[b]
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                parent[_root(parent, a)] = _root(parent, b)
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, hashes = None, WordHashes()
         for batch in batches:
             frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(frame):
@@ -150,13 +175,9 @@ def _compare(threshold: float, least: float):
             open_ = ((frame["bucket"] == last["bucket"]) & (frame["x"] == last["x"]) & (frame["y"] == last["y"])).to_numpy()
             rest, done = frame[open_], frame[~open_]
             if len(done):
-                yield emit(*pairs_of(done))
+                yield links(done.reset_index(drop=True), hashes)
         if rest is not None and len(rest):
-            yield emit(*pairs_of(rest))
-
-    def emit(out_a: list, out_b: list) -> pd.DataFrame:
-        a, b = np.concatenate(out_a or [[]]).astype(np.int64), np.concatenate(out_b or [[]]).astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            yield links(rest.reset_index(drop=True), hashes)
 
     return run
 
@@ -193,7 +214,7 @@ def _sketch(width: int):
 
 
 def _bands(rows: int):
-    """(bucket, node) for every band of registers."""
+    """(bucket, node) for every band of registers; the last six bits of a bucket are its band."""
     count = REGISTERS // rows
     salt = mixed(np.arange(1, count + 1, dtype=np.uint64))
 
@@ -204,28 +225,12 @@ def _bands(rows: int):
                 regs = np.frombuffer(b"".join(part["regs"]), np.uint8).reshape(-1, REGISTERS)
                 wide = np.zeros((len(part), count, 8), np.uint8)
                 wide[:, :, :rows] = regs[:, : count * rows].reshape(len(part), count, rows)
-                keys = mixed(wide.view(np.uint64)[:, :, 0] + salt)
+                keys = mixed(wide.view(np.uint64)[:, :, 0] + salt) & np.uint64(MASK - 63) | np.arange(count, dtype=np.uint64)
                 yield pd.DataFrame({"bucket": keys.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), count)})
 
     return run
 
 
-def _verify(width: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            keep, last, items = [], None, None
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if a != last:
-                    last, items = a, shingles(text_a, width, hashes)
-                other = shingles(text_b, width, hashes)
-                both = len(np.intersect1d(items, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(items) + len(other) - both) and both > 0)
-            yield batch.loc[keep, ["a", "b"]]
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least percent/100 over shingles of `width` words.
 
@@ -242,30 +247,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = materialise(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "regs")).alias("first")).select("node", "first.doc_id", "first.n", "first.regs"), "nodes")
     bands = materialise(nodes.select("node", "regs").mapInPandas(_bands(rows), "bucket long, node long"), "bands")
     met = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("m > 1")
-    met = met.groupBy("m", "lo", "hi", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        bands.join(met, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    low = F.min(F.struct(F.col("bucket").bitwiseAND(63).alias("band"), "bucket"))["bucket"]
+    met = met.groupBy("m", "lo", "hi", "mark").agg(low.alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = materialise(bands.join(met, "bucket").select("bucket", "node", "blocks"), "members")
+    ends = materialise(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
+    few = ends.count()
+    chosen = bounded_broadcast(ends.select(F.col("doc_id").alias("id")).distinct(), few, BROADCAST_IDS)
+    bodies = docs.join(chosen, F.expr("doc_id <=> id"), "left_semi").mapInPandas(_with_node(width), "node long, text string")
+    bodies = bodies.join(bounded_broadcast(ends.select("node"), few, BROADCAST_IDS), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    bodies = materialise(bodies.join(nodes.select("node", "n", "regs"), "node"), "bodies")
+    links = (
+        members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .join(nodes.select("node", "n", "regs"), "node")
-    )
-    pairs = (
-        dealt.repartition("bucket", "x", "y")
+        .join(bodies, "node")
+        .repartition("bucket", "x", "y")
         .sortWithinPartitions("bucket", "x", "y")
-        .mapInPandas(_compare(threshold, float(least)), "a long, b long")
-        .distinct()
-    )
-    pairs = materialise(pairs, "pairs")
-    ends = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
-    chosen = bounded_broadcast(ends.select("doc_id").distinct(), ends.count(), BROADCAST_IDS)
-    bodies = docs.join(chosen.withColumnRenamed("doc_id", "id"), F.expr("doc_id <=> id"), "left_semi").mapInPandas(_with_node(width), "node long, text string")
-    bodies = bodies.join(bounded_broadcast(ends.select("node"), ends.count(), BROADCAST_IDS), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    bodies = materialise(bodies, "bodies")
-    links = (
-        pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .mapInPandas(_verify(width, percent), "a long, b long")
+        .mapInPandas(_compare(width, percent, float(least), rows), "a long, b long")
     )
     groups = components(materialise(links, "links"))
     named = nodes.select("node", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
