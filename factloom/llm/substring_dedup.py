@@ -129,7 +129,8 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if known[a]:
                     out.append((owner[a], doc_id, key, a, b - a + WINDOW - 1, b" ".join(words[a : b + WINDOW - 1])))
-        yield pd.DataFrame(out, columns=["owner", "doc_id", "key", "start", "n", "words"])
+        if out:
+            yield pd.DataFrame(out, columns=["owner", "doc_id", "key", "start", "n", "words"])
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +155,8 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(rest):
                 h = windows(hashes.of(tokens), WINDOW).view(np.int64)
                 out += [(OPEN, doc_id, key, start + a, 1, h[a]) for a in rest]
-        yield pd.DataFrame(out, columns=["kind", "doc_id", "key", "start", "n", "h"])
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "doc_id", "key", "start", "n", "h"])
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
