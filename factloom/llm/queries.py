@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import fingerprints, near_dedup, substring_dedup, tokens
+from factloom.llm import fingerprints, near_dedup, secrets, substring_dedup, tokens
 from factloom.llm.common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op3_document_fingerprints, op5_token_counts, op6_bpe_encoding, op7_minhash_near_dedup, op9_substring_dedup)
+QUERIES = (op1_secret_scans, op3_document_fingerprints, op5_token_counts, op6_bpe_encoding, op7_minhash_near_dedup, op9_substring_dedup)
 
 
 def queries() -> dict[str, Callable]:
