@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import fingerprints, near_dedup, secrets, substring_dedup, tokens
+from factloom.llm import decontaminate, fingerprints, near_dedup, packing, secrets, substring_dedup, tokens
 from factloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,11 +35,24 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), pad=50256)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_secret_scans, op3_document_fingerprints, op5_token_counts, op6_bpe_encoding, op7_minhash_near_dedup, op9_substring_dedup)
+QUERIES = (
+    op1_secret_scans,
+    op3_document_fingerprints,
+    op4_benchmark_decontamination,
+    op5_token_counts,
+    op6_bpe_encoding,
+    op7_minhash_near_dedup,
+    op8_token_packing,
+    op9_substring_dedup,
+)
 
 
 def queries() -> dict[str, Callable]:
