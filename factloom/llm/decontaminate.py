@@ -48,8 +48,11 @@ class Lexicon:
     """Raw word -> row of (template hash within a sentence, at its start, kind within, kind at start, unit?, ends a sentence?, empty?)."""
 
     def __init__(self) -> None:
+        self._anew()
+
+    def _anew(self) -> None:
         self.rows: dict[str, int] = {}
-        self.data: list[tuple] = []
+        self.columns = [np.zeros(1024, kind) for kind in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool)]
 
     def add(self, word: str) -> int:
         bare = _SQUASH.sub("", word.lower())
@@ -62,22 +65,22 @@ class Lexicon:
             row = (_MARK["name"], literal, NAME, LITERAL, bare in UNITS, ends, False)
         else:
             row = (literal, literal, LITERAL, LITERAL, bare in UNITS, ends, not bare)
-        self.data.append(row)
-        self.rows[word] = len(self.data) - 1
-        return self.rows[word]
+        at = self.rows[word] = len(self.rows)
+        if at == len(self.columns[0]):
+            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
+        for column, value in zip(self.columns, row, strict=True):
+            column[at] = value
+        return at
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Template hashes, kinds and words of a text; words without letters and digits are left out."""
         if len(self.rows) > WORDS:
-            self.rows, self.data = {}, []
+            self._anew()
         words = text.split()
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
         get, add = self.rows.get, self.add
-        at = [k if (k := get(w)) is not None else add(w) for w in words]
-        if len(self.data) != getattr(self, "sized", -1):
-            self.columns = [np.array(c) for c in zip(*self.data, strict=True)]
-            self.sized = len(self.data)
+        at = np.array([k if (k := get(w)) is not None else add(w) for w in words])
         inside, first, kind_in, kind_first, unit, ends, empty = (c[at] for c in self.columns)
         start = np.r_[True, ends[:-1]]
         h, kind = np.where(start, first, inside), np.where(start, kind_first, kind_in)
