@@ -208,7 +208,7 @@ def _sketch(width: int):
             for text in batch["text"]:
                 items = shingles(text, width, hashes)
                 out.append((len(items), _node(items), registers(items).tobytes()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [x[0] for x in out], "node": [x[1] for x in out], "regs": [x[2] for x in out]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": batch["mark"], "n": [x[0] for x in out], "node": [x[1] for x in out], "regs": [x[2] for x in out]})
 
     return run
 
@@ -238,11 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     one row per input row.  Null or empty texts have no shingles, link with nothing and are kept.  Rows with equal doc_id
     are documents of their own that share an id; a row with null doc_id gets the least other id of its group, or null.
     """
+    return _groups(docs, width, percent).drop("mark")
+
+
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of `near_duplicates` with mark, the xxhash64 of their text."""
     docs = as_documents(docs)
     threshold = percent / 100
     least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     rows = 8 if percent >= 84 else 6
-    sketched = materialise(docs.mapInPandas(_sketch(width), "doc_id long, n long, node long, regs binary"), "sketches")
+    sketched = docs.withColumn("mark", F.xxhash64("text")).mapInPandas(_sketch(width), "doc_id long, mark long, n long, node long, regs binary")
+    sketched = materialise(sketched, "sketches")
     full = sketched.where("n > 0")
     nodes = materialise(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "regs")).alias("first")).select("node", "first.doc_id", "first.n", "first.regs"), "nodes")
     bands = materialise(nodes.select("node", "regs").mapInPandas(_bands(rows), "bucket long, node long"), "bands")
@@ -269,6 +275,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = nodes.select("node", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     where = named.join(heads, "label").select("node", "component_id")
-    out = sketched.select("doc_id", "n", "node").join(where, "node", "left")
+    out = sketched.select("doc_id", "mark", "n", "node").join(where, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "mark")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, without those that are not kept by `near_duplicates`.
+
+    Null ids and texts without words stay.  Rows that agree in doc_id and text are judged alike: all of them stay or none.
+    """
+    gone = _groups(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    gone = materialise(gone.distinct(), "gone")
+    side = bounded_broadcast(gone, gone.count(), BROADCAST_IDS)
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(side, (docs["doc_id"].cast("long") == side["gone_id"]) & (mark == side["gone_mark"]), "left_anti")

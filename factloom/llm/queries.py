@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, fingerprints, near_dedup, packing, secrets, substring_dedup, tokens
+from factloom.llm import decontaminate, fingerprints, near_dedup, packing, quality, secrets, substring_dedup, tokens, toxicity
 from factloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = (
     op1_secret_scans,
+    op2_toxicity,
     op3_document_fingerprints,
     op4_benchmark_decontamination,
     op5_token_counts,
@@ -52,6 +61,7 @@ QUERIES = (
     op7_minhash_near_dedup,
     op8_token_packing,
     op9_substring_dedup,
+    op10_quality_classifier,
 )
 
 

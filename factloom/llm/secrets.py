@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_documents
 
 # Kinds in the order of ties, and their patterns.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -87,11 +86,13 @@ def highest_entropy(word: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text and spans: array<struct<start, order, end, kind>> by start, then kind; one row per input row, null texts are empty.
+    """doc_id, text, row (all columns of the input) and spans: array<struct<start, order, end, kind>> by start, then kind.
 
+    One row per input row; null texts are empty.
     Only texts that hold a match are looked at beyond a first test; repeated rows and ids are scanned each.
     """
-    docs = as_documents(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.struct("*").alias("row"))
     text = F.col("text")
     none = F.array().cast("array<struct<start:int,word:string>>")
     assign = F.when(text.rlike(ASSIGN), F.filter(matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["word"], ASSIGN, 2)) >= 6)).otherwise(none)
@@ -106,7 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return out
 
     candidates = F.filter(longer, lambda x: ~allowed(x["word"]))
-    base = docs.select("doc_id", "text", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), candidates.alias("candidates"))
+    base = docs.select("doc_id", "text", "row", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), candidates.alias("candidates"))
     base = base.withColumn("base", F.concat(spans(F.col("assign"), "assign"), spans(F.col("access"), "access"), spans(F.col("hex"), "hex")))
     limit = F.create_map(*(F.lit(x) for pair in BITS.items() for x in pair))
 
@@ -120,7 +121,7 @@ def scan(docs: DataFrame) -> DataFrame:
     free = F.when(F.size("candidates") > 0, F.filter("candidates", new)).otherwise(none)
     base = base.withColumn("free", free)
     entropy = F.when(F.size("free") > 0, F.filter("free", strong)).otherwise(none)
-    return base.withColumn("entropy", entropy).select("doc_id", "text", F.array_sort(F.concat("base", spans(F.col("entropy"), "entropy"))).alias("spans"))
+    return base.withColumn("entropy", entropy).select("doc_id", "text", "row", F.array_sort(F.concat("base", spans(F.col("entropy"), "entropy"))).alias("spans"))
 
 
 def joined(found: Column) -> Column:
@@ -136,15 +137,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """doc_id and text with every span (overlapping ones as one) replaced by `mark`; other text stays."""
+    """The documents, all columns, with every span of the text (overlapping ones as one) replaced by `mark`; other texts stay, null ones are empty."""
     found = scan(docs)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        inside = s["end"] <= acc["at"]
-        between = F.when(s["start"] > acc["at"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        sign = F.when((s["start"] < acc["at"]) | inside, F.lit("")).otherwise(F.lit(mark))
+        between = F.when(s["start"] > acc["at"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
+        sign = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between, sign).alias("out"))
 
     cut = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("text"), F.size("spans").alias("n_spans"))
+    clean = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
