@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from factloom.llm.common import as_documents, bounded_broadcast, materialise, shared_path
 
 #: Distinct pieces a task remembers; a full table starts anew.
-PIECES = 600_000
+PIECES = 300_000
 #: Rows of the table of frequent words that is sent to every task (about 40 bytes each).
-FREQUENT_WORDS = 200_000
+FREQUENT_WORDS = 100_000
+#: Rows whose ids or texts a task holds at a time beside its input.
+SLICE = 500
 BROADCAST_ROWS = 1_000_000
 #: Code points whose letter, number, space and case classes are the same in all libraries and which no normal form changes.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*+")
@@ -79,6 +81,12 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(0, len(batch), SLICE):
+            yield batch.iloc[k : k + SLICE]
+
+
 def version(path: str) -> str:
     """Digest of the vocabulary file and the library that reads it."""
     with open(path, "rb") as file:
@@ -156,8 +164,8 @@ def encode(docs: DataFrame, path: str, pattern: str = WORD_PATTERN, lower: bool
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(path, pattern, lower, shared.value)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series([pieces.encode(t) for t in batch["text"]], dtype=object)})
+        for part in _slices(batches):
+            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": pd.Series([pieces.encode(t) for t in part["text"]], index=part.index, dtype=object)})
 
     return as_documents(docs).mapInPandas(run, "doc_id long, ids binary")
 
@@ -168,9 +176,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load(path)
         piece = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
-        for batch in batches:
-            text = [" ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": batch["ids"], "text": pd.Series(text, dtype=object)})
+        for part in _slices(batches):
+            text = [" ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in part["ids"]]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": part["ids"], "text": pd.Series(text, index=part.index, dtype=object)})
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, text string")
 
