@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import as_documents, bounded_broadcast, materialise, shared_path
 
 #: Distinct pieces a task remembers; a full table starts anew.
-PIECES = 300_000
+PIECES = 450_000
 #: Rows of the table of frequent words that is sent to every task (about 40 bytes each).
-FREQUENT_WORDS = 100_000
+FREQUENT_WORDS = 200_000
 #: Rows whose ids or texts a task holds at a time beside its input.
 SLICE = 500
 BROADCAST_ROWS = 1_000_000
@@ -73,7 +73,7 @@ class Pieces(dict):
         pieces = self.split(text)
         if pieces is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        missing = {p for p in pieces if p not in self}
+        missing = {p for p in set(pieces) if p not in self}
         if missing:
             self.learn(missing)
             if not all(p in self for p in pieces):  # the table has just started anew
