@@ -34,6 +34,9 @@ _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*+")
 # The pre-tokenizer patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Byte -> the character that byte-level vocabularies write for it: itself where printable, else one from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
 
 
 @functools.lru_cache(maxsize=4)
@@ -52,6 +55,8 @@ class Pieces(dict):
         super().__init__(known or {})
         self.tokenizer, self.find, self.lower = load(path), regex.compile(pattern).findall, lower
         self.known = known or {}
+        #: The vocabulary's model can be asked directly where a piece's bytes are all that it sees.
+        self.bytewise = pattern == BYTE_PATTERN and not lower and self.tokenizer.normalizer is None
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def split(self, text: str) -> list[str] | None:
@@ -65,6 +70,10 @@ class Pieces(dict):
             self.clear()
             self.update(self.known)
         new = [p for p in pieces if p not in self]
+        if self.bytewise:
+            ids = (self.tokenizer.model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_CHARS)) for p in new)
+            self.update((p, np.array([t.id for t in found], "<u4").tobytes()) for p, found in zip(new, ids, strict=True))
+            return
         for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[piece] = np.array(encoded.ids, "<u4").tobytes()
 
