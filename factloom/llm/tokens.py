@@ -56,7 +56,7 @@ class Pieces(dict):
         self.tokenizer, self.find, self.lower = load(path), regex.compile(pattern).findall, lower
         self.known = known or {}
         #: The vocabulary's model can be asked directly where a piece's bytes are all that it sees.
-        self.bytewise = pattern == BYTE_PATTERN and not lower and self.tokenizer.normalizer is None
+        self.bytewise = (pattern == BYTE_PATTERN and not lower and self.tokenizer.normalizer is None) or (pattern == WORD_PATTERN and lower)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def split(self, text: str) -> list[str] | None:
