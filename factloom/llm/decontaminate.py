@@ -3,9 +3,12 @@
 Words become template tokens: numbers, units after a number, and names (capitalised
 words within a sentence) turn into typed placeholders, everything else is folded to
 lower-case letters and digits.  Windows of WINDOW template tokens with enough literal
-words are hash-joined between documents and benchmark items.  Windows of one document
-and item at one offset form an alignment; it counts where each slot value of the item
-stands for one value of the document throughout, and the other way round.  So a
+words are hash-joined between documents and benchmark items, and so are all windows of
+the case-folded words themselves, without placeholders, so a copy in other letter case
+or one dense in numbers and names is found.  Windows of one document and item at one
+offset form an alignment; it counts where each slot value of the item stands for one
+value of the document throughout, and the other way round.  Where some values don't,
+the windows without such values count, if they cover COVER tokens by themselves.  So a
 question with other numbers or names is found, and chance agreement is not.
 """
 
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded_broadcast, materialise, windows
@@ -45,14 +48,14 @@ _MARK = {kind: np.uint64(xxhash.xxh3_64_intdigest(f"<{kind}>")) for kind in ("nu
 
 
 class Lexicon:
-    """Raw word -> row of (template hash within a sentence, at its start, kind within, kind at start, unit?, ends a sentence?, empty?)."""
+    """Raw word -> row of (template hash within a sentence, at its start, kind within, kind at start, unit?, ends a sentence?, empty?, hash of the folded word)."""
 
     def __init__(self) -> None:
         self._anew()
 
     def _anew(self) -> None:
         self.rows: dict[str, int] = {}
-        self.columns = [np.zeros(1024, kind) for kind in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool)]
+        self.columns = [np.zeros(1024, kind) for kind in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool, np.uint64)]
 
     def add(self, word: str) -> int:
         bare = _SQUASH.sub("", word.lower())
@@ -68,27 +71,27 @@ class Lexicon:
         at = self.rows[word] = len(self.rows)
         if at == len(self.columns[0]):
             self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
-        for column, value in zip(self.columns, row, strict=True):
+        for column, value in zip(self.columns, (*row, literal), strict=True):
             column[at] = value
         return at
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Template hashes, kinds and words of a text; words without letters and digits are left out."""
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Template hashes, hashes of the folded words, kinds and words of a text; words without letters and digits are left out."""
         if len(self.rows) > WORDS:
             self._anew()
         words = text.split()
         if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), []
         get, add = self.rows.get, self.add
         at = np.array([k if (k := get(w)) is not None else add(w) for w in words])
-        inside, first, kind_in, kind_first, unit, ends, empty = (c[at] for c in self.columns)
+        inside, first, kind_in, kind_first, unit, ends, empty, folded = (c[at] for c in self.columns)
         start = np.r_[True, ends[:-1]]
         h, kind = np.where(start, first, inside), np.where(start, kind_first, kind_in)
         is_unit = unit & np.r_[False, kind[:-1] == NUMBER]
         h = np.where(is_unit, _MARK["unit"], h)
         kind = np.where(is_unit, LITERAL, kind).astype(np.int8)
         keep = ~empty
-        return h[keep], kind[keep], words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k]
+        return h[keep], folded[keep], kind[keep], words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k]
 
 
 def template_windows(h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,37 +105,72 @@ def _slots(kind: np.ndarray, words: list[str], start: int) -> list[str]:
     return [_SQUASH.sub("", words[start + k].lower()) for k in range(WINDOW) if kind[start + k] != LITERAL]
 
 
+def _sieve(known: np.ndarray) -> np.ndarray:
+    """Marks of the low bits of sorted hashes, so that most others are told apart without a search."""
+    bits = min(max(int(len(known) * 16).bit_length(), 16), 26)
+    marks = np.zeros(1 << bits, bool)
+    marks[known & np.uint64((1 << bits) - 1)] = True
+    return marks
+
+
 def _window_rows(identity: str, wanted=None):
-    """Rows (id, mark, pos, n, window, slots) of the usable windows, those in `wanted` alone where it is given."""
+    """Rows (id, mark, pos, n, window, template, exact, slots) of the usable template windows and the folded ones, those in `wanted` alone where it is given.
+
+    A window that is the same both ways is one row; `exact` windows match by their words alone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon()
         known = None if wanted is None else wanted.value
+        marks = None if known is None else _sieve(known)
+
+        def sought(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+            if known is None:
+                return np.flatnonzero(at)
+            if not len(known):
+                return np.zeros(0, int)
+            at = np.flatnonzero(at & marks[hashes & np.uint64(len(marks) - 1)])
+            return at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
+
         for batch in batches:
             out = []
             for key, mark, text in zip(batch[identity], batch["mark"], batch["text"], strict=True):
-                h, kind, words = lexicon.template(text)
+                h, folded, kind, words = lexicon.template(text)
                 hashes, usable = template_windows(h, kind)
-                if known is not None and len(hashes):
-                    spot = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                    usable = usable & (known[spot] == hashes) if len(known) else usable & False
-                signed = hashes.view(np.int64)
-                out += [(key, mark, int(k), len(words), int(signed[k]), _slots(kind, words, k)) for k in np.flatnonzero(usable)]
+                if not len(hashes):
+                    continue
+                exact = windows(folded, WINDOW)
+                same = exact == hashes
+                signed, plain = hashes.view(np.int64), exact.view(np.int64)
+                out += [(key, mark, int(k), len(words), int(signed[k]), True, bool(same[k]), _slots(kind, words, k)) for k in sought(hashes, usable)]
+                out += [(key, mark, int(k), len(words), int(plain[k]), False, True, _slots(kind, words, k)) for k in sought(exact, ~same)]
             if out:
-                frame = pd.DataFrame(out, columns=[identity, "mark", "pos", "n", "window", "slots"])
+                frame = pd.DataFrame(out, columns=[identity, "mark", "pos", "n", "window", "template", "exact", "slots"])
                 yield frame.astype({identity: "Int64"})
 
     return run
 
 
+def _covered(found: Column, n: Column) -> Column:
+    """Tokens that an alignment's windows cover, null where it doesn't count."""
+    pairs = F.array_distinct(F.flatten(F.transform(found, lambda w: w["pairs"])))
+    distinct = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+    consistent = (distinct("item") == F.size(pairs)) & (distinct("doc") == F.size(pairs))
+    bad = F.filter(pairs, lambda p: F.exists(pairs, lambda q: (q["item"] == p["item"]) != (q["doc"] == p["doc"])))
+    sound = F.filter(found, lambda w: ~F.arrays_overlap(w["pairs"], bad))
+    tokens = lambda ws: F.size(F.array_distinct(F.flatten(F.transform(ws, lambda w: F.sequence(w["at"], w["at"] + WINDOW - 1)))))
+    whole, part = tokens(found), tokens(sound)
+    return F.when(consistent, F.when((whole >= COVER) | (whole >= SHARE * n), whole)).otherwise(F.when(part >= COVER, part))
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, mark, item_id, covered): documents (mark is their text's xxhash64) and the items they hold, with the most tokens covered."""
     spark = docs.sparkSession
-    schema = "{} long, mark long, pos int, n int, window long, slots array<string>"
+    schema = "{} long, mark long, pos int, n int, window long, template boolean, exact boolean, slots array<string>"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     items = materialise(items.mapInPandas(_window_rows("item_id"), schema.format("item_id")), "benchmark")
-    items = items.select("item_id", F.col("pos").alias("item_pos"), "n", "window", F.col("slots").alias("item_slots"))
+    items = items.select("item_id", F.col("pos").alias("item_pos"), "n", "window", F.col("template").alias("item_template"), F.col("slots").alias("item_slots"))
     kinds = items.select("window").distinct()
     count = kinds.count()
     wanted = None
@@ -140,17 +178,17 @@ def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = np.fromiter((r.window for r in kinds.toLocalIterator()), np.int64, count).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(found))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    rows = rows.mapInPandas(_window_rows("doc_id", wanted), schema.format("doc_id")).select("doc_id", "mark", "pos", "window", "slots")
+    rows = rows.mapInPandas(_window_rows("doc_id", wanted), schema.format("doc_id")).select("doc_id", "mark", "pos", "window", "template", "exact", "slots")
     hits = rows.distinct().join(bounded_broadcast(items, count, BROADCAST_WINDOWS // 16), "window")
     hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos"))
     by = ["doc_id", "mark", "item_id", "offset"]
-    positions = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + WINDOW - 1))))
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))))
-    whole = hits.groupBy(*by).agg(F.max("n").alias("n"), F.size(positions).alias("covered"), pairs.alias("pairs"))
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs"))
-    enough = (F.col("covered") >= COVER) | (F.col("covered") >= SHARE * F.col("n"))
-    return whole.where(consistent & enough).groupBy("doc_id", "mark", "item_id").agg(F.max("covered").alias("covered"))
+    value = F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("slots"))
+    window = F.struct(F.col("item_pos").alias("at"), (F.col("template") & F.col("item_template")).alias("template"), F.arrays_zip(F.col("item_slots").alias("item"), value.alias("doc")).alias("pairs"))
+    whole = hits.groupBy(*by).agg(F.max("n").alias("n"), F.collect_list(window).alias("found"))
+    # Words kept where others were replaced must not spoil what the templates alone make consistent.
+    covered = F.greatest(_covered(F.filter("found", lambda w: w["template"]), F.col("n")), _covered(F.col("found"), F.col("n")))
+    counted = whole.withColumn("covered", covered).where("covered is not null")
+    return counted.groupBy("doc_id", "mark", "item_id").agg(F.max("covered").alias("covered"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -75,3 +75,13 @@ def test_nulls_repeats_and_no_rows(spark):
     assert [r.text for r in dc.clean(df, bench).collect()] == ["clean"]
     assert dc.report(df.limit(0), bench).count() == 0
     assert dc.report(df, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_other_letter_case_and_one_changed_occurrence_are_found(spark):
+    tail = " They meet at noon near the river and then both drivers walk back to the old town where a long dinner waits for them and their friends until late at night."
+    changed = (ITEM + tail).replace("at 9 from", "at 8 from")
+    dense = "Anna Bell met Carl Dorn and Eva Frost at 7 in Graz Hall with Ida Jung and Karl Lang on 12 May"
+    docs = [(1, ITEM.upper()), (2, ITEM.title()), (3, ITEM.lower()), (4, "so. " + changed), (5, "so " + dense), (6, LONG.title()), (7, " ".join(reversed(ITEM.split())))]
+    items = [(10, ITEM), (11, LONG), (12, ITEM + tail), (13, dense)]
+    got = {r.doc_id: set(r["items"].split(",")) for r in dc.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all("10" in got[k] for k in (1, 2, 3)) and "12" in got[4] and got[5] == {"13"} and got[6] == {"11"} and got[7] == {""}
