@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import WordHashes, as_documents, materialise, shingles
+from factloom.llm.near_dedup import BLOCK, SLACK, _node, _root
 
 HASHES = 64
 WIDTH = 5
@@ -119,34 +120,95 @@ def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_chars": "Int64", "near_edited": "float64", "near_next": "float64"})
 
 
+def _sketch(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(t, width, hashes) for t in batch["text"]]
+            yield batch.assign(node=[_node(x) for x in sets], n=[len(x) for x in sets], fingerprint=[_hex(signature(x)) for x in sets])
+
+    return run
+
+
+def _compare(width: int, threshold: float):
+    """Verified links of rows sorted by (bucket, x, y): the two blocks of one bucket at a time, pairs in falling order of their likeness.
+
+    A pair is judged in the first band it shares, and only while verified links don't connect it yet.
+    """
+    least = threshold - SLACK * (threshold * (1 - threshold) / HASHES) ** 0.5
+
+    def links(frame: pd.DataFrame, hashes: WordHashes) -> list:
+        sigs = np.frombuffer(bytes.fromhex("".join(frame["fingerprint"])), ">u4").reshape(-1, HASHES)
+        node, block, text = frame["node"].to_numpy(), frame["block"].to_numpy(), frame["text"].to_numpy()
+        ids, own, band = frame["doc_id"].to_numpy(), frame["x"].iloc[0] == frame["y"].iloc[0], frame["band"].iloc[0]
+        found = []
+        for i in range(len(frame) - 1):
+            same = sigs[i] == sigs[i + 1 :]
+            j = np.flatnonzero((same.mean(1) >= least) & (own | (block[i + 1 :] != block[i])))
+            j = j[same[j].reshape(len(j), HASHES // BAND, BAND).all(2).argmax(1) == band]
+            found += zip(-same[j].mean(1), [i] * len(j), (j + i + 1).tolist(), strict=True)
+        parent, items, out = {}, {}, []
+        for _, i, j in sorted(found):
+            if _root(parent, node[i]) == _root(parent, node[j]):
+                continue
+            for k in (i, j):
+                if k not in items:
+                    items[k] = shingles(text[k], width, hashes)
+            both = len(np.intersect1d(items[i], items[j], assume_unique=True))
+            share = both / (len(items[i]) + len(items[j]) - both)
+            if share >= threshold:
+                parent[_root(parent, node[i])] = _root(parent, node[j])
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), share))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, hashes = None, WordHashes()
+
+        def judged(frame: pd.DataFrame) -> pd.DataFrame:
+            out = [row for _, group in frame.groupby(["bucket", "x", "y"], sort=False) for row in links(group, hashes)]
+            return pd.DataFrame(out, columns=["representative", "doc_id", "jaccard"])
+
+        for batch in batches:
+            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(frame):
+                continue
+            key = frame[["bucket", "x", "y"]]
+            open_ = (key == key.iloc[-1]).all(axis=1)
+            rest = frame[open_]
+            if not open_.all():
+                yield judged(frame[~open_])
+        if rest is not None and len(rest):
+            yield judged(rest)
+
+    return run
+
+
 def like_pairs(docs: DataFrame, width: int = WIDTH, threshold: float = 0.8) -> DataFrame:
-    """(representative, doc_id, jaccard): documents that share a signature band with the least doc_id of the band, verified on full sets.
+    """(representative, doc_id, jaccard): links between documents that share a signature band, verified on full sets, the smaller doc_id first.
 
-    Each band bucket links its members to its least member, so a bucket of m rows gives m - 1 candidates, however large.
-    Null doc_ids and texts without words have no pairs.
+    All members of a band's bucket are compared by their signatures, in blocks of BLOCK rows; links of one pair of blocks
+    are a forest, so a pair that other links connect has no link of its own.  Texts with the same shingles are one node
+    and link to its least doc_id; different texts that share an id are documents of their own.  Null doc_ids and texts
+    without words have no links.
     """
-    prints = fingerprints(docs, width).where("doc_id is not null").dropDuplicates(["doc_id"])
+    kept = as_documents(docs).where("doc_id is not null")
+    prints = kept.mapInPandas(_sketch(width), "doc_id long, text string, node long, n long, fingerprint string").where("n > 0")
+    prints = materialise(prints, "prints")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "text", "fingerprint")).alias("first")).select("node", "first.*")
+    nodes = materialise(nodes, "nodes")
+    copies = prints.select("node", F.col("doc_id").alias("other")).distinct().join(nodes.select("node", "doc_id"), "node").where("other > doc_id")
     step = BAND * 8
-    bands = F.array(*(F.xxhash64(F.lit(k), F.substring("fingerprint", k * step + 1, step)) for k in range(HASHES // BAND)))
-    empty = "f" * (HASHES * 8)
-    rows = prints.where(F.col("fingerprint") != empty).select("doc_id", F.explode(bands).alias("band"))
-    heads = rows.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1")
-    pairs = rows.join(heads, "band").where("doc_id > head").select("head", "doc_id").distinct()
-    texts = prints.select("doc_id", "text")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            out = []
-            for head, doc_id, a, b in zip(batch["head"], batch["doc_id"], batch["head_text"], batch["text"], strict=True):
-                x, y = shingles(a, width, hashes), shingles(b, width, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((head, doc_id, both / (len(x) + len(y) - both)))
-            frame = pd.DataFrame(out, columns=["representative", "doc_id", "jaccard"])
-            yield frame[frame["jaccard"] >= threshold]
-
-    return (
-        pairs.join(texts, "doc_id")
-        .join(texts.select(F.col("doc_id").alias("head"), F.col("text").alias("head_text")), "head")
-        .mapInPandas(verify, "representative long, doc_id long, jaccard double")
+    bands = F.array(*(F.substring("fingerprint", k * step + 1, step) for k in range(HASHES // BAND)))
+    rows = nodes.select("node", F.posexplode(bands).alias("band", "part")).select("node", "band", F.xxhash64("band", "part").alias("bucket"))
+    met = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        rows.join(met, "bucket")
+        .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", "band", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        .join(nodes, "node")
+        .repartition("bucket", "x", "y")
+        .sortWithinPartitions("bucket", "x", "y")
     )
+    links = dealt.mapInPandas(_compare(width, threshold), "representative long, doc_id long, jaccard double")
+    return links.unionByName(copies.select(F.col("doc_id").alias("representative"), F.col("other").alias("doc_id"), F.lit(1.0).alias("jaccard"))).distinct()

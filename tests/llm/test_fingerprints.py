@@ -59,3 +59,21 @@ def test_one_row_nulls_repeats_and_no_rows(spark):
     df = spark.createDataFrame([(None, None), (1, "x y"), (1, "x y"), (2, "")], "doc_id long, text string")
     assert fp.edited_fingerprints(df).count() == 4
     assert fp.edited_fingerprints(df.limit(0)).count() == 0
+
+
+def test_like_pairs_behind_siblings_and_shared_ids(spark):
+    rng = random.Random(4)
+    base = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(300)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for p in range(k % 30, 300, 30):
+            words[p] = f"s{k}"
+        rows.append((k, " ".join(words)))
+    near = list(base)
+    near[7] = "edit"
+    rows += [(100, " ".join(base)), (101, " ".join(near)), (102, " ".join(base).upper()), (103, "one text of this id here"), (103, " ".join(near) + " end")]
+    got = {(r.representative, r.doc_id): r.jaccard for r in fp.like_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (100, 101) in got and got[100, 102] == 1.0 and any(103 in pair for pair in got)
+    sets = {i: set(shingles(t, fp.WIDTH, WordHashes()).tolist()) for i, t in rows}
+    assert all(len(sets[a] & sets[b]) == pytest.approx(j * len(sets[a] | sets[b])) and j >= 0.8 for (a, b), j in got.items())
