@@ -4,7 +4,9 @@ Three base patterns give spans of whole matches.  The method adds entropy spans:
 over each candidate string (a long run of token characters) a window of WINDOW
 characters slides, whose Shannon entropy per character class is kept up by
 incremental counts (one character enters, one leaves); a string with a window at or
-above its class's threshold is a span, unless an allow-list suppresses it.
+above its class's threshold is a span, unless an allow-list suppresses it.  A
+candidate that touches a base span is no entropy span; what of it lies outside the
+base spans is judged by itself and gives spans of kind "rest".
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 # Kinds in the order of ties, and their patterns.
-KINDS = ("assign", "access", "hex", "entropy")
+KINDS = ("assign", "access", "hex", "entropy", "rest")
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -22,14 +24,15 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Characters of a window, and bits a character from which a string of a class is a secret.
 WINDOW = 20
 BITS = {"hex": 3.0, "upper": 3.4, "mixed": 3.8}
-#: Strings that are never entropy spans: words and identifiers of letters alone, digits alone, paths, UUIDs, dashes and rules.
+#: Strings that are never entropy spans: words and identifiers of letters alone, digits alone, paths, UUIDs, dashes and rules; and
+#: examples by name, where too little else is left for a window on either side of the name.
 ALLOWED = (
     r"^[A-Za-z_=+/-]+$",
     r"^[0-9_=+/-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^/?(?:[a-z][a-z_-]*/)+[a-z_-]*[0-9]{0,4}/?$",
     r"^(?:sha(?:1|256|512)|md5)-",
-    r"(?i)example|placeholder|dummy",
+    r"(?i)^(?:.{0,18}[/+=_-])?(?:example|placeholder|dummy)(?:[/+=_-].{0,18})?$",
 )
 
 
@@ -86,7 +89,7 @@ def highest_entropy(word: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row (all columns of the input) and spans: array<struct<start, order, end, kind>> by start, then kind.
+    """doc_id, text, row (all columns of the input) and spans and rests: arrays<struct<start, order, end, kind>> by start, then kind.
 
     One row per input row; null texts are empty.
     Only texts that hold a match are looked at beyond a first test; repeated rows and ids are scanned each.
@@ -106,9 +109,8 @@ def scan(docs: DataFrame) -> DataFrame:
             out = out | word.rlike(pattern)
         return out
 
-    candidates = F.filter(longer, lambda x: ~allowed(x["word"]))
-    base = docs.select("doc_id", "text", "row", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), candidates.alias("candidates"))
-    base = base.withColumn("base", F.concat(spans(F.col("assign"), "assign"), spans(F.col("access"), "access"), spans(F.col("hex"), "hex")))
+    base = docs.select("doc_id", "text", "row", assign.alias("assign"), access.alias("access"), hexes.alias("hex"), longer.alias("longer"))
+    base = base.withColumn("base", F.array_sort(F.concat(spans(F.col("assign"), "assign"), spans(F.col("access"), "access"), spans(F.col("hex"), "hex"))))
     limit = F.create_map(*(F.lit(x) for pair in BITS.items() for x in pair))
 
     def new(x: Column) -> Column:
@@ -118,10 +120,21 @@ def scan(docs: DataFrame) -> DataFrame:
     def strong(x: Column) -> Column:
         return highest_entropy(x["word"]) >= limit[class_of(x["word"])]
 
-    free = F.when(F.size("candidates") > 0, F.filter("candidates", new)).otherwise(none)
-    base = base.withColumn("free", free)
-    entropy = F.when(F.size("free") > 0, F.filter("free", strong)).otherwise(none)
-    return base.withColumn("entropy", entropy).select("doc_id", "text", "row", F.array_sort(F.concat("base", spans(F.col("entropy"), "entropy"))).alias("spans"))
+    def parts(x: Column) -> Column:
+        """What base spans leave of a candidate, in pieces of WINDOW characters at least."""
+        end = x["start"] + F.length(x["word"])
+        piece = lambda at, to: F.struct(at.alias("start"), F.substring(x["word"], at - x["start"] + 1, F.greatest(to - at, F.lit(0))).alias("word"))
+        begin = F.struct(x["start"].alias("at"), none.alias("out"))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], F.least(b["start"], end)))).alias("out"))
+        pieces = F.aggregate("base", begin, step, lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], end))))
+        return F.filter(pieces, lambda p: F.length(p["word"]) >= WINDOW)
+
+    free = F.when(F.size("longer") > 0, F.filter("longer", lambda x: ~allowed(x["word"]) & new(x))).otherwise(none)
+    rest = F.when((F.size("longer") > 0) & (F.size("base") > 0), F.filter(F.flatten(F.transform(F.filter("longer", lambda x: ~new(x)), parts)), lambda x: ~allowed(x["word"]))).otherwise(none)
+    base = base.withColumns({"free": free, "rest": rest})
+    kept = lambda name: F.when(F.size(name) > 0, F.filter(name, strong)).otherwise(none)
+    base = base.withColumns({"entropy": kept("free"), "strong": kept("rest")})
+    return base.select("doc_id", "text", "row", F.array_sort(F.concat("base", spans(F.col("entropy"), "entropy"))).alias("spans"), F.array_sort(spans(F.col("strong"), "rest")).alias("rests"))
 
 
 def joined(found: Column) -> Column:
@@ -129,16 +142,16 @@ def joined(found: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts of base spans, the digest of their list, and all spans as text."""
+    """Counts of base spans, the digest of their list, all spans as text, and the spans of secrets beside base spans."""
     found = scan(docs)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
-    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), joined(F.col("rests")).alias("rests"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents, all columns, with every span of the text (overlapping ones as one) replaced by `mark`; other texts stay, null ones are empty."""
-    found = scan(docs)
+    found = scan(docs).withColumn("spans", F.array_sort(F.concat("spans", "rests")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -78,3 +78,16 @@ def test_redaction(spark):
 def test_no_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, spans string, base int")
     assert secrets.report(df).count() == 0
+
+
+def test_secrets_beside_base_spans_and_named_examples(spark):
+    rng = random.Random(3)
+    secret = lambda n: "".join(rng.sample(string.ascii_letters + string.digits, n))
+    key, one, two = "AKIA" + "Q7R2W9E4T6Y1U3I8", secret(40), secret(40)
+    texts = [f"a {key}/{one} b", f"a {one}_token=abcdef b", f"a Z{one}-{'9f' * 12}-{two}Z b", f"a example/{one} b", f"a {'x1Y2' * 2}/example/{'x1Y2' * 2} b", f"a example-{secret(12)} b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert not any(one in t or two in t for t in clean)
+    assert clean[4:] == texts[4:]
+    got = [r.rests for r in secrets.report(df).orderBy("doc_id").collect()]
+    assert all(got[:3]) and got[3:] == ["", "", ""] and got[2].count("rest") == 2
