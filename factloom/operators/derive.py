@@ -26,7 +26,8 @@ def _flow(left: DataFrame, right: DataFrame, via: str, mechanism: str) -> DataFr
 
 def api_calls(relations: DataFrame) -> DataFrame:
     """Component -> component where one consumes an API that the other provides."""
-    return _flow(relations.where("type = 'consumesApi'"), relations.where("type = 'providesApi'"), "dst_", "api")
+    used = relations.withColumnRenamed("dst", "via")
+    return _flow(used.where("type = 'consumesApi'"), used.where("type = 'providesApi'"), "via", "api")
 
 
 def messages(relations: DataFrame, ignore: DataFrame | None = None) -> DataFrame:

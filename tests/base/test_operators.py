@@ -1,7 +1,7 @@
 import random
 
 from factloom.functions import confidence, text
-from factloom.operators import graph, merge, verify
+from factloom.operators import derive, graph, merge, verify
 from factloom.plans import registry
 from factloom.streaming import folds
 from pyspark.sql import functions as F
@@ -74,3 +74,9 @@ def test_streamed_tallies(spark, tmp_path):
     job = folds.stream_tallies(stream).writeStream.format("memory").queryName("tallies").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     job.awaitTermination()
     assert {(r.run, r.n, r.cost) for r in spark.table("tallies").collect()} == {(1, 2, 3.0), (2, 1, 4.0)}
+
+
+def test_api_calls_meet_at_the_api(spark):
+    rows = [("a", "consumesApi", "api:1", "high", 2), ("b", "providesApi", "api:1", "low", 3), ("a", "providesApi", "api:2", "low", 1)]
+    df = spark.createDataFrame(rows, "src string, type string, dst string, confidence string, n_evidence long")
+    assert [(r.src, r.dst, r.n_via, r.n_evidence, r.confidence) for r in derive.api_calls(df).collect()] == [("a", "b", 1, 5, "low")]
