@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
@@ -48,9 +49,14 @@ def tag_normalize(spark, sf_dir):
 
 @query("tag_inventory", "SELECT p_type AS tag, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS brands, array_to_string(list_slice(list_sort(list(p_partkey)), 1, 5), ',') AS samples FROM part GROUP BY p_type")
 def tag_inventory(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("tag"))
-    samples = F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 5)
-    return rows.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"), F.array_join(samples.cast("array<string>"), ",").alias("samples"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("tag"), "p_brand", "p_partkey")
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("p_partkey"))
+    first = rows.where("p_partkey is not null").select("tag", "p_partkey", F.pmod(F.xxhash64("p_partkey"), F.lit(64)).alias("salt"))
+    first = first.withColumn("n", least("tag", "salt")).where("n <= 5").withColumn("n", least("tag")).where("n <= 5")
+    samples = F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("samples")
+    first = first.groupBy(F.col("tag").alias("of")).agg(samples)
+    every = rows.groupBy("tag").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
+    return every.join(first, F.expr("tag <=> of"), "left").select("tag", "n", "brands", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 @query("spelling_groups", """SELECT normal, count(*) AS n_raw FROM (SELECT DISTINCT raw, regexp_replace(regexp_replace(trim(lower(raw)), '[^a-z0-9:.+#]+', '-', 'g'), '^-+|-+$', '', 'g') AS normal

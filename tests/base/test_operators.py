@@ -80,3 +80,11 @@ def test_api_calls_meet_at_the_api(spark):
     rows = [("a", "consumesApi", "api:1", "high", 2), ("b", "providesApi", "api:1", "low", 3), ("a", "providesApi", "api:2", "low", 1)]
     df = spark.createDataFrame(rows, "src string, type string, dst string, confidence string, n_evidence long")
     assert [(r.src, r.dst, r.n_via, r.n_evidence, r.confidence) for r in derive.api_calls(df).collect()] == [("a", "b", 1, 5, "low")]
+
+
+def test_tag_inventory_holds_five_parts_of_a_tag(spark, tmp_path):
+    rows = [(k, "BIG" if k % 3 else None, f"b{k % 2}") for k in range(3000)] + [(9000, "ONE", "b9")]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    out = registry.queries()["tag_inventory"](spark, str(tmp_path))
+    assert {r.tag: (r.n, r.brands, r.samples) for r in out.collect()} == {"BIG": (2000, "b0,b1", "1,2,4,5,7"), None: (1000, "b0,b1", "0,3,6,9,12"), "ONE": (1, "b9", "9000")}
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
