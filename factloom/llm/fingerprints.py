@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WordHashes, as_documents, materialise, shingles
+from factloom.llm.common import WordHashes, as_documents, materialise, shingles, tidy
 from factloom.llm.near_dedup import BLOCK, SLACK, _node, _root
 
 HASHES = 64
@@ -39,8 +39,8 @@ def signature(items: np.ndarray) -> np.ndarray:
     return least
 
 
-def _hex(sig: np.ndarray) -> str:
-    return sig.astype(">u4").tobytes().hex()
+def _bytes(sig: np.ndarray) -> bytes:
+    return sig.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,9 +53,9 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield batch.assign(fingerprint=[_hex(signature(shingles(t, width, hashes))) for t in batch["text"]])
+            yield batch.assign(fingerprint=[_bytes(signature(shingles(t, width, hashes))).hex() for t in batch["text"]])
 
-    return as_documents(docs).mapInPandas(run, "doc_id long, text string, fingerprint string")
+    return as_documents(docs).mapInPandas(tidy(run), "doc_id long, text string, fingerprint string")
 
 
 def edited_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -86,8 +86,8 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if rows:
             yield _frame([(rows[0][0], None, None, None, None, None, None, rows[0][1], first)])
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, last_text string, first_text string"
-    out = materialise(dealt.mapInPandas(run, schema), "fingerprints")
+    schema = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, last_text string, first_text string"
+    out = materialise(dealt.mapInPandas(tidy(run), schema), "fingerprints")
     ends = out.where("last_text is not null")
     by = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("last_text"))
     joined = ends.select("doc_id", "last_text", F.lead("first_text").over(by).alias("next"), F.first("first_text").over(by).alias("start"))
@@ -99,8 +99,9 @@ def edited_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             rows = zip(_ids(batch["doc_id"]), batch["last_text"], signed(batch, "last_text", hashes), batch["next"], signed(batch, "next", hashes), strict=True)
             yield _frame([_judge(*row, width, hashes) + (None, None) for row in rows])
 
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return out.where("last_text is null").select(*columns).unionByName(joined.mapInPandas(close, schema).select(*columns))
+    # Bytes on disk, hexadecimal text in the result.
+    columns = ["doc_id", "n_chars", *(F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), "near_edited", "near_next"]
+    return out.where("last_text is null").select(*columns).unionByName(joined.mapInPandas(tidy(close), schema).select(*columns))
 
 
 def _ids(column: pd.Series) -> list:
@@ -111,8 +112,8 @@ def _judge(doc_id, text: str, own: np.ndarray, following: str, after: np.ndarray
     n = len(text)
     edited = text[: n - n // 2] + following[: n // 2]
     other = signature(shingles(edited, width, hashes))
-    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, n, digest, _hex(own), _hex(other), likeness(own, other), likeness(own, after)
+    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
+    return doc_id, n, digest, _bytes(own), _bytes(other), likeness(own, other), likeness(own, after)
 
 
 def _frame(rows: list) -> pd.DataFrame:
@@ -125,7 +126,7 @@ def _sketch(width: int):
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(t, width, hashes) for t in batch["text"]]
-            yield batch.assign(node=[_node(x) for x in sets], n=[len(x) for x in sets], fingerprint=[_hex(signature(x)) for x in sets])
+            yield batch.assign(node=[_node(x) for x in sets], n=[len(x) for x in sets], fingerprint=[_bytes(signature(x)).hex() for x in sets])
 
     return run
 
@@ -192,7 +193,7 @@ def like_pairs(docs: DataFrame, width: int = WIDTH, threshold: float = 0.8) -> D
     without words have no links.
     """
     kept = as_documents(docs).where("doc_id is not null")
-    prints = kept.mapInPandas(_sketch(width), "doc_id long, text string, node long, n long, fingerprint string").where("n > 0")
+    prints = kept.mapInPandas(tidy(_sketch(width)), "doc_id long, text string, node long, n long, fingerprint string").where("n > 0")
     prints = materialise(prints, "prints")
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "text", "fingerprint")).alias("first")).select("node", "first.*")
     nodes = materialise(nodes, "nodes")
@@ -210,5 +211,5 @@ def like_pairs(docs: DataFrame, width: int = WIDTH, threshold: float = 0.8) -> D
         .repartition("bucket", "x", "y")
         .sortWithinPartitions("bucket", "x", "y")
     )
-    links = dealt.mapInPandas(_compare(width, threshold), "representative long, doc_id long, jaccard double")
+    links = dealt.mapInPandas(tidy(_compare(width, threshold)), "representative long, doc_id long, jaccard double")
     return links.unionByName(copies.select(F.col("doc_id").alias("representative"), F.col("other").alias("doc_id"), F.lit(1.0).alias("jaccard"))).distinct()
