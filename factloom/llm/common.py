@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +19,10 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 MASK = (1 << 64) - 1
 #: Distinct words a task remembers hashes of; a full table starts anew.
-WORD_TABLE = 400_000
+WORD_TABLE = 200_000
+#: Bytes of a batch of rows that Spark hands to Python.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +35,31 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/factloom/{kind}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, kind: str) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES: texts are long, and a Python worker and its JVM hold a batch at a time."""
+    if int(re.sub(r"\D", "", spark.conf.get(_BATCH_CONF))) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def tidy(run: Callable) -> Callable:
+    """A task function that gives memory back when it ends: Python workers outlive their tasks and wait beside the next ones."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
+def materialise(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +78,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_documents(df: DataFrame) -> DataFrame:
     """doc_id as long and text with null as empty; nothing else of the input is used."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_documents
-from factloom.llm.tokens import BYTE_PATTERN, Pieces, load
+from factloom.llm.common import as_documents, tidy
+from factloom.llm.tokens import BYTE_PATTERN, encoder, load
 
 #: Chunks that a task gathers before it places them.
 GROUP = 20_000
@@ -104,10 +104,10 @@ def pack(docs: DataFrame, path: str, width: int = 2048, pad: int = 0, pattern: s
         return (pd.DataFrame(out, columns=names) if out else None), rest
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, chunks = Pieces(path, pattern, lower), []
+        known, chunks = encoder(path, pattern, lower), []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(pieces.encode(text), "<u4")
+                ids = np.frombuffer(known.encode(text), "<u4")
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 chunks += [(doc_id, ids[k : k + width], k // width, len(ids)) for k in range(0, max(len(ids), 1), width)]
                 if len(chunks) >= GROUP:
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, path: str, width: int = 2048, pad: int = 0, pattern: s
             yield frame
 
     schema = "row_key long, n_tokens long, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, chunks array<int>, doc_tokens array<long>"
-    return as_documents(docs).mapInPandas(run, schema)
+    return as_documents(docs).mapInPandas(tidy(run), schema)
 
 
 def unpack(packed: DataFrame, wide: bool = False) -> DataFrame:

@@ -1,42 +1,47 @@
 """Operators 5 and 6: token counts behind a digest cache, and BPE encoding and decoding by distinct words.
 
-Both split a text into the tokenizer's own pieces with its own pattern and encode
-each distinct piece once in a task.  Texts with code points for which the pattern's
-classes might differ between libraries, or with the tokenizer's special strings, go
-to the library whole.
+Both split a text into the tokenizer's own pieces with its own pattern.  Texts with code
+points for which the pattern's classes might differ between libraries, or with the
+tokenizer's special strings, go to the library whole.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
 import tokenizers
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_documents, bounded_broadcast, materialise, shared_path
+from factloom.llm.common import as_documents, bounded_batches, bounded_broadcast, materialise, shared_path, tidy
 
-#: Distinct pieces a task remembers; a full table starts anew.
-PIECES = 450_000
-#: Rows of the table of frequent words that is sent to every task (about 40 bytes each).
-FREQUENT_WORDS = 200_000
-#: Rows whose ids or texts a task holds at a time beside its input.
-SLICE = 500
+#: Distinct pieces, and distinct words made of them, that a worker remembers.
+PIECES, UNITS = 600_000, 900_000
+#: Characters of a block, whose distinct words a task holds, and of a compressed row of its texts.
+BLOCK, PACK = 12_000_000, 1_000_000
+#: Words between spaces that are remembered within a block, and pieces in one row of its list.
+BLOCK_UNITS, WORD_ROW = 120_000, 5_000
 BROADCAST_ROWS = 1_000_000
 #: Code points whose letter, number, space and case classes are the same in all libraries and which no normal form changes.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*+")
+#: White space beside white space, at an end or of another kind: there a piece may depend on more than its word.
+_TANGLED = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 # The pre-tokenizer patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte -> the character that byte-level vocabularies write for it: itself where printable, else one from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
+_SPACE = chr(_BYTE_CHARS[32])
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,52 +53,99 @@ def load(path: str) -> tokenizers.Tokenizer:
     return found
 
 
-class Pieces(dict):
-    """piece -> ids as little-endian 32-bit bytes, encoded a batch of new pieces at a time."""
+def specials(path: str) -> tuple[str, ...]:
+    """The strings that the library treats apart wherever they stand in a text."""
+    return tuple(t.content for t in load(path).get_added_tokens_decoder().values())
 
-    def __init__(self, path: str, pattern: str, lower: bool, known: dict | None = None) -> None:
-        super().__init__(known or {})
-        self.tokenizer, self.find, self.lower = load(path), regex.compile(pattern).findall, lower
-        self.known = known or {}
-        #: The vocabulary's model can be asked directly where a piece's bytes are all that it sees.
-        self.bytewise = (pattern == BYTE_PATTERN and not lower and self.tokenizer.normalizer is None) or (pattern == WORD_PATTERN and lower)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def split(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None where only the library should split it."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return self.find(text.lower() if self.lower else text)
+class Memory(dict):
+    """key -> value, made on demand; beyond `most` keys those that were not asked for lately are forgotten."""
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self) > PIECES:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-            self.update(self.known)
-        new = [p for p in pieces if p not in self]
-        if self.bytewise:
-            ids = (self.tokenizer.model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_CHARS)) for p in new)
-            self.update((p, np.array([t.id for t in found], "<u4").tobytes()) for p, found in zip(new, ids, strict=True))
-            return
-        for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(encoded.ids, "<u4").tobytes()
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
+class Splitter:
+    """Texts as the joined values of their pieces; what a word between spaces gives is remembered."""
+
+    def __init__(self, special: tuple[str, ...], pattern: str, lower: bool, value: Callable[[str], bytes], most: int | None = None) -> None:
+        self.most = most or UNITS
+        self.special, self.find, self.lower, self.value = special, regex.compile(pattern).findall, lower, value
+        #: Pieces may hold the space before a word, or no white space at all; with other patterns texts are split as a whole.
+        self.spaced, self.bare = pattern == BYTE_PATTERN and not lower, pattern == WORD_PATTERN
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = Memory(lambda word: self._joined(" " + word if self.spaced else word), self.most)
+        self.first = Memory(self._joined, self.most // 4)
+
+    def plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _joined(self, text: str) -> bytes:
+        return b"".join(map(self.value, self.find(text)))
+
+    def joined(self, text: str) -> bytes | None:
+        """The values of a text's pieces, or None where only the library should split it."""
+        if not self.plain(text):
+            return None
+        if self.lower:
+            text = text.lower()
+        if self.bare:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        if not self.spaced or text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _TANGLED):
+            return self._joined(text)
+        out, end, word = [], self.first["\n"], self.words.__getitem__
+        for line in text.split("\n"):
+            begin, *rest = line.split(" ")
+            out.append(self.first[begin])
+            out += map(word, rest)
+            out.append(end)
+        return b"".join(out[:-1])
+
+
+class Encoder(Splitter):
+    """Ids of whole texts, each remembered piece encoded once."""
+
+    def __init__(self, path: str, pattern: str, lower: bool) -> None:
+        self.tokenizer = tokenizer = load(path)
+        #: The vocabulary's model can be asked directly where a piece's bytes are all that it sees.
+        bytewise = (pattern == BYTE_PATTERN and not lower and tokenizer.normalizer is None) or (pattern == WORD_PATTERN and lower)
+        self.piece = self.direct if bytewise else self.through
+        self.pieces = Memory(self.piece, PIECES)
+        super().__init__(specials(path), pattern, lower, self.pieces.__getitem__)
+
+    def direct(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            seen = piece.replace(" ", _SPACE)
+        else:
+            seen = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_CHARS)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+
+    def through(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        pieces = self.split(text)
-        if pieces is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        missing = {p for p in set(pieces) if p not in self}
-        if missing:
-            self.learn(missing)
-            if not all(p in self for p in pieces):  # the table has just started anew
-                self.learn(set(pieces))
-        return b"".join(map(self.__getitem__, pieces))
-
-
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for k in range(0, len(batch), SLICE):
-            yield batch.iloc[k : k + SLICE]
+        found = self.joined(text)
+        return self.through(text) if found is None else found
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str, lower: bool) -> Encoder:
+    """The encoder of a Python worker, whose next task starts with what it remembers."""
+    return Encoder(path, pattern, lower)
 
 
 def version(path: str) -> str:
@@ -107,7 +159,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
     `cache` is a Parquet folder of (version, digest, n_tokens) that later calls share; without it a new one starts in the
     shared folder.  Contents are joined to it by SHA-256, of the misses one row a digest is encoded, and the counts are
-    appended.  Equal rows, equal ids and null ids are all counted.
+    appended.  Equal rows, equal ids and null ids are all counted; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = as_documents(docs)
@@ -123,77 +175,192 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     texts = docs.select("doc_id", "text", digest).join(chosen, (F.xxhash64("digest") == F.col("mark")) & F.expr("doc_id <=> id"), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, pattern, lower=False)
+        known = encoder(path, pattern, lower=False)
         for batch in batches:
-            yield pd.DataFrame({"version": mark, "digest": batch["digest"], "n_tokens": [len(pieces.encode(t)) // 4 for t in batch["text"]]})
+            yield pd.DataFrame({"version": mark, "digest": batch["digest"], "n_tokens": [len(known.encode(t)) // 4 for t in batch["text"]]})
 
-    texts.select("digest", "text").mapInPandas(run, schema).write.mode("append").parquet(cache)
+    texts.select("digest", "text").mapInPandas(tidy(run), schema).write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("version") == mark).dropDuplicates(["digest"]).select("digest", "n_tokens")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def word_table(docs: DataFrame, path: str, pattern: str = WORD_PATTERN, lower: bool = True) -> DataFrame:
-    """(word, n, ids): the frequent distinct words of the corpus, each encoded once.
+def _with_block(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[int, object, str]]:
+    """(block, doc_id, text): a block is a run of about `size` characters of one task's texts, or one longer text."""
+    first, seen = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            yield first + seen // size, None if pd.isna(doc_id) else int(doc_id), text
+            seen += len(text)
 
-    All words are in it while there are FREQUENT_WORDS or fewer; beyond, those at or above the least power of two of
-    occurrences that keeps it within that size.  Words are counted over all texts.
-    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, pattern, lower)
-        for batch in batches:
-            words = Counter()
-            for text in batch["text"]:
-                words.update(pieces.split(text) or ())
+def word_lists(docs: DataFrame, path: str, pattern: str = WORD_PATTERN, lower: bool = True, size: int = BLOCK) -> DataFrame:
+    """(block, words): the distinct words of every block, sorted, WORD_ROW of them in a row.  Texts that the library splits are left out."""
+
+    special = specials(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, words = Splitter(special, pattern, lower, str.encode), set()
+
+        def rows(block: int) -> pd.DataFrame:
+            pieces = words
+            if split.bare:
+                pieces = set(itertools.chain.from_iterable(map(split.find, words)))
+            found = sorted(pieces)
+            parts = [found[k : k + WORD_ROW] for k in range(0, len(found), WORD_ROW)]
+            return pd.DataFrame({"block": np.full(len(parts), block, np.int64), "words": pd.Series(parts, dtype=object)})
+
+        for block, held in itertools.groupby(_with_block(batches, size), key=lambda x: x[0]):
+            words.clear()
+            for _, _, text in held:
+                if split.plain(text):
+                    text = text.lower() if lower else text
+                    words.update(text.split() if split.bare else split.find(text))
             if words:
-                yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+                yield rows(block)
+
+    return as_documents(docs).mapInPandas(tidy(run), "block long, words array<string>")
+
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, pattern, lower)
+def encoded_words(lists: DataFrame, path: str, pattern: str = WORD_PATTERN, lower: bool = True) -> DataFrame:
+    """(block, words, sizes, ids): the ids of the words of every block, each distinct word encoded once for the whole corpus.
+
+    All blocks that have a word meet in one task, next to one another, so it is encoded when it first comes.  Words are
+    joined by NUL, the numbers of their ids are 16-bit and the ids 32-bit integers.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, last, ids = Encoder(path, pattern, lower), None, b""
         for batch in batches:
-            pieces.learn(set(batch["word"]))
-            yield pd.DataFrame({"word": batch["word"], "n": batch["n"], "ids": pd.Series([pieces[w] for w in batch["word"]], dtype=object)})
+            found, words, block = [], batch["word"].to_numpy(), batch["block"].to_numpy()
+            for word in words:
+                if word != last:
+                    last, ids = word, known.piece(word)
+                found.append(ids)
+            order = np.argsort(block, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else np.zeros(1, int)
+            out = []
+            for at in (order[a:b] for a, b in itertools.pairwise(edge)):
+                own = [found[k] for k in at]
+                sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+                out.append((block[at[0]], "\0".join(words[at]).encode("utf-8", "surrogatepass"), sizes.astype("<u2").tobytes(), b"".join(own)))
+            if out:
+                yield pd.DataFrame(out, columns=["block", "words", "sizes", "ids"])
+
+    rows = lists.select("block", F.explode("words").alias("word")).repartition("word").sortWithinPartitions("word")
+    return rows.mapInPandas(tidy(run), "block long, words binary, sizes binary, ids binary")
+
+
+def packed_texts(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(block, doc_ids, sizes, texts): the documents of every block, about PACK characters in a compressed row; `sizes` are in bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=6)
+
+        def row(block: int, doc_ids: list, texts: list) -> pd.DataFrame:
+            packed = packer.compress(b"".join(texts))
+            return pd.DataFrame({"block": [block], "doc_ids": [doc_ids], "sizes": [[len(t) for t in texts]], "texts": [packed]})
+
+        for block, held in itertools.groupby(_with_block(batches, size), key=lambda x: x[0]):
+            doc_ids, texts, total = [], [], 0
+            for _, doc_id, text in held:
+                doc_ids.append(doc_id)
+                texts.append(text.encode("utf-8", "surrogatepass"))
+                total += len(text)
+                if total >= PACK:
+                    yield row(block, doc_ids, texts)
+                    doc_ids, texts, total = [], [], 0
+            if doc_ids:
+                yield row(block, doc_ids, texts)
+
+    return as_documents(docs).mapInPandas(tidy(run), "block long, doc_ids array<long>, sizes array<int>, texts binary")
+
+
+class _Table(dict):
+    """word -> ids of one block; a word that is not in it, as when a task has read its rows in another order, is encoded here."""
+
+    def __init__(self, encode: Callable[[], Encoder]) -> None:
+        super().__init__()
+        self.encode = encode
 
-    words = as_documents(docs).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialise(words, "words")
-    sizes = words.select(*(F.count_if(F.col("n") >= 2**k).alias(f"k{k}") for k in range(48))).first()
-    least = next(k for k in range(48) if sizes[k] <= FREQUENT_WORDS)
-    return words.where(F.col("n") >= 2**least).mapInPandas(encode, "word string, n long, ids binary")
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.encode().piece(word)
+        return found
 
+    def add(self, words: bytes, sizes: bytes, ids: bytes) -> None:
+        ends = np.cumsum(np.frombuffer(sizes, "<u2"), dtype=np.int64) * 4
+        cuts = [0, *ends.tolist()]
+        self.update(zip(words.decode("utf-8", "surrogatepass").split("\0"), (ids[a:b] for a, b in itertools.pairwise(cuts)), strict=True))
 
-def encode(docs: DataFrame, path: str, pattern: str = WORD_PATTERN, lower: bool = True) -> DataFrame:
-    """(doc_id, ids): ids of every whole text as little-endian unsigned 32-bit integers; null texts are empty and have none.
 
-    Ids of frequent words come from the distinct-word table, which every task gets; the tail, of no bounded size, is encoded
-    once a task.  Ids stand where their words stood.
+def vocabulary(path: str) -> list[str]:
+    """The pieces of a vocabulary by id, special ones too."""
+    return [load(path).id_to_token(k) or "" for k in range(load(path).get_vocab_size())]
+
+
+def _text(ids: bytes, piece: list[str]) -> str:
+    return " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str = WORD_PATTERN, lower: bool = True, size: int = BLOCK, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): ids of every whole text as little-endian unsigned 32-bit integers, one row per input row.
+
+    With `decoded` their text is a third column, as `decode` gives it, made in the same task.
+
+    Null texts are empty and have no ids; null and repeated doc_ids are rows like any other; an empty table gives no rows.
+    Texts are dealt out in blocks.  The distinct words of all blocks are encoded once each in Spark, their ids joined back
+    to the blocks that have them, and put where the words stood.
     """
-    spark = docs.sparkSession
-    frequent = {r.word: bytes(r.ids) for r in word_table(docs, path, pattern, lower).select("word", "ids").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, pattern, lower, shared.value)
-        for part in _slices(batches):
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": pd.Series([pieces.encode(t) for t in part["text"]], index=part.index, dtype=object)})
-
-    return as_documents(docs).mapInPandas(run, "doc_id long, ids binary")
+        """Rows sorted by (block, whether texts): a block's words with their ids, then its texts."""
+        known, unpacker = functools.partial(encoder, path, pattern, lower), zstandard.ZstdDecompressor()
+        current, table = None, _Table(known)
+        split = Splitter(special, pattern, lower, table.__getitem__, BLOCK_UNITS)
+        for batch in batches:
+            for block, words, sizes, ids, doc_ids, lengths, texts in zip(*(batch[c] for c in ("block", "words", "sizes", "ids", "doc_ids", "lengths", "texts")), strict=True):
+                if block != current:
+                    current = block
+                    table.clear()
+                    split.forget()
+                if texts is None:
+                    table.add(words, sizes, ids)
+                    continue
+                whole, at, found = unpacker.decompress(texts), 0, []
+                for n in lengths:
+                    text = whole[at : at + n].decode("utf-8", "surrogatepass")
+                    at += n
+                    own = split.joined(text)
+                    found.append(known().through(text) if own is None else own)
+                out = pd.DataFrame({"doc_id": pd.array([None if x is None or pd.isna(x) else int(x) for x in doc_ids], dtype="Int64"), "ids": pd.Series(found, dtype=object)})
+                yield out.assign(text=[_text(own, pieces.value) for own in found]) if decoded else out
+
+    special = specials(path)
+    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path)) if decoded else None
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    coded = encoded_words(word_lists(docs, path, pattern, lower, size), path, pattern, lower)
+    coded = coded.select("block", F.lit(0).alias("kind"), "words", "sizes", "ids", *none("array<long>", "doc_ids"), *none("array<int>", "lengths"), *none("binary", "texts"))
+    texts = packed_texts(docs, size).select("block", F.lit(1).alias("kind"), *none("binary", "words", "sizes", "ids"), "doc_ids", F.col("sizes").alias("lengths"), "texts")
+    rows = texts.unionByName(coded).repartition("block").sortWithinPartitions("block", "kind")
+    return rows.mapInPandas(tidy(run), "doc_id long, ids binary, text string" if decoded else "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of `encode` with their text: ids joined to the vocabulary's pieces as the library's decode does without a decoder, special ones kept."""
+    """The rows of `encode` with their text: ids joined to the vocabulary's pieces as the library's decode does without a decoder, special ones kept.
+
+    The vocabulary is the bounded side of the join and is sent to every task.  Rows without ids have empty texts.
+    """
+    pieces = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = load(path)
-        piece = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
-        for part in _slices(batches):
-            text = [" ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())) for ids in part["ids"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": part["ids"], "text": pd.Series(text, index=part.index, dtype=object)})
+        for batch in batches:
+            yield batch.assign(text=pd.Series([_text(ids, pieces.value) for ids in batch["ids"]], index=batch.index, dtype=object))
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, text string")
+    bounded_batches(encoded.sparkSession)
+    return encoded.select("doc_id", "ids").mapInPandas(tidy(run), "doc_id long, ids binary, text string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of the ids and of the decoded text."""
-    both = decode(encode(docs, path), path)
+    """doc_id, n_tokens and SHA-256 of the ids and of the decoded text, one row per input row; edge cases as in `encode`."""
+    both = encode(docs, path, decoded=True)
     text = F.sha2(F.col("text").cast("binary"), 256)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), text.alias("decoded_sha256"))

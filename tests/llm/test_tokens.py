@@ -35,7 +35,7 @@ def test_counts_match_the_library(spark, tmp_path):
         assert stored.count() == len({t or "" for _, t in rows})
 
 
-def test_encoding_and_decoding_match_the_library(spark, monkeypatch):
+def test_encoding_and_decoding_match_the_library(spark):
     rows, path = corpus(), P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -44,18 +44,35 @@ def test_encoding_and_decoding_match_the_library(spark, monkeypatch):
         ids = library.encode(t or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         expected[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-    for frequent in (200_000, 10):
-        monkeypatch.setattr(tokens, "FREQUENT_WORDS", frequent)
-        got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens.encode_digests(df, path).collect()}
-        assert got == expected
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens.encode_digests(df, path).collect()}
+    assert got == expected
+    stored = tokens.encode(df, path)
+    assert {(r.doc_id, r.text) for r in tokens.decode(stored, path).collect()} == {(r.doc_id, r.text) for r in tokens.encode(df, path, decoded=True).collect()}
+    for size in (1, 2000):  # a block for every document, or for a few
+        got = {r.doc_id: hashlib.sha256(bytes(r.ids)).hexdigest() for r in tokens.encode(df, path, size=size).collect()}
+        assert got == {i: e[1] for i, e in expected.items()}
 
 
-def test_a_full_piece_table_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "PIECES", 3)
+def test_each_distinct_word_is_listed_once_a_block(spark):
+    df = spark.createDataFrame([(k, "one two three ONE'S " + "four " * k) for k in range(50)], "doc_id long, text string").repartition(4)
     path = P.path("word_bpe_49k.json")
-    pieces, library = tokens.Pieces(path, tokens.WORD_PATTERN, True), Tokenizer.from_file(path)
-    for text in ("one two three four five", "two six one", "seven one eight nine ten two"):
-        assert pieces.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for size in (10, 10_000_000):
+        rows = tokens.word_lists(df, path, size=size).selectExpr("block", "explode(words) as word")
+        assert {r.word for r in rows.collect()} == {"one", "'s", "two", "three", "four"}
+        assert rows.groupBy("block", "word").count().where("count > 1").count() == 0
+        assert rows.select("block").distinct().count() == (50 if size == 10 else 4)
+    coded = tokens.encoded_words(tokens.word_lists(df, path, size=10), path).collect()
+    assert sum(len(r.words.decode().split("\0")) for r in coded) == tokens.word_lists(df, path, size=10).selectExpr("explode(words)").count()
+
+
+@pytest.mark.parametrize("name, pattern, lower", [("word_bpe_49k.json", tokens.WORD_PATTERN, True), ("byte_bpe_50k.json", tokens.BYTE_PATTERN, False)])
+def test_what_is_forgotten_is_encoded_again(name, pattern, lower, monkeypatch):
+    monkeypatch.setattr(tokens, "PIECES", 6)
+    monkeypatch.setattr(tokens, "UNITS", 8)
+    known, library = tokens.Encoder(P.path(name), pattern, lower), Tokenizer.from_file(P.path(name))
+    for _, text in [*corpus(), (0, "one two three four five"), (0, "two six one\nseven one  eight nine\n\nten two")]:
+        want = np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert known.encode(text or "") == want
 
 
 def test_repeats_nulls_and_no_rows(spark):
@@ -65,3 +82,6 @@ def test_repeats_nulls_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.token_counts(none, P.path("byte_bpe_50k.json")).count() == 0
     assert tokens.encode_digests(none, P.path("word_bpe_49k.json")).count() == 0
+    extra = spark.createDataFrame([(1, "a b", b"x", "w"), (1, "a b", b"y", "w"), (None, "a b", None, "w"), (None, None, None, None)], "doc_id long, text string, ids binary, word string")
+    got = sorted(((r.doc_id, r.n_tokens) for r in tokens.encode_digests(extra, P.path("word_bpe_49k.json")).collect()), key=str)
+    assert got == sorted([(1, 2), (1, 2), (None, 2), (None, 0)], key=str)
