@@ -8,9 +8,13 @@ within a bucket the Jaccard similarity of two sketches is estimated jointly with
 the known set sizes by maximum likelihood, and what may reach the threshold is
 verified on the full sets of words, unless verified links connect it already.
 
-Exact copies of a set are one node from the start.  A bucket is dealt out in
-blocks of BLOCK rows, so no task ever holds more than two blocks of it, and
-buckets with the same members are looked at once.
+Exact copies of a set are one node from the start, and buckets with the same members
+are looked at once.  A large bucket is dealt out in blocks of about BLOCK rows, each
+compared within itself; as every bucket is dealt in another way, a large group is
+connected after that.  What is not, is compared across the blocks in a second round:
+nodes outside the bucket's largest component meet all its blocks, and where they fill
+more than a block themselves, every pair of blocks meets.  So no task ever holds more
+than two blocks, no pair is lost, and a text isn't sent to every block of its group.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import MASK, WordHashes, as_documents, bounded_broadcast, materialise, mixed, shingles
+from factloom.llm.common import MASK, WordHashes, as_documents, bounded_broadcast, discard, materialise, mixed, shingles, tidy
 from factloom.llm.components import components
 
 REGISTERS = 384
@@ -110,7 +114,7 @@ def _root(parent: dict, x: int) -> int:
 def _compare(width: int, percent: int, least: float, rows: int):
     """Verified links of rows sorted by (bucket, x, y); holds the two blocks of one bucket at a time.
 
-    A pair is judged in the first band it shares, in falling order of its estimate,
+    Nodes of one label are connected already.  A pair is judged in the first band it shares, in falling order of its estimate,
     and only while verified links don't connect it yet: the links are a forest.
     """
     threshold, count = percent / 100, REGISTERS // rows
@@ -137,9 +141,10 @@ def _compare(width: int, percent: int, least: float, rows: int):
     def links(frame: pd.DataFrame, hashes: WordHashes) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(frame["regs"]), np.uint8).reshape(-1, REGISTERS)
         node, n, text = frame["node"].to_numpy(), frame["n"].to_numpy(), frame["text"].to_numpy()
+        label = frame["label"].to_numpy()
         band = frame["bucket"].to_numpy() & 63
         i, j = candidates(frame, regs) if len(frame) > 1 else (np.zeros(0, int), np.zeros(0, int))
-        fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+        fits = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & (label[i] != label[j])
         i, j = i[fits], j[fits]
         first = np.zeros(len(i), bool)
         for k in range(0, len(i), 4096):
@@ -148,16 +153,16 @@ def _compare(width: int, percent: int, least: float, rows: int):
             first[k : k + 4096] = agree.argmax(1) == band[a]
         i, j = i[first], j[first]
         est = estimates(regs, n, i, j, least)
-        items, parent, out = {}, {}, []
+        items, parent, out = {}, dict(zip(node.tolist(), label.tolist())), []
         for k in np.argsort(-est, kind="stable"):
             if est[k] < least:
                 break
-            a, b = node[i[k]], node[j[k]]
+            a, b = int(node[i[k]]), int(node[j[k]])
             if _root(parent, a) == _root(parent, b):
                 continue
             for at in (i[k], j[k]):
-                if node[at] not in items:
-                    items[node[at]] = shingles(text[at], width, hashes)
+                if int(node[at]) not in items:
+                    items[int(node[at])] = shingles(text[at], width, hashes)
             x, y = items[a], items[b]
             both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
             if 100 * both >= percent * (len(x) + len(y) - both):
@@ -231,6 +236,24 @@ def _bands(rows: int):
     return run
 
 
+def _across(large: DataFrame) -> DataFrame:
+    """The rows of the second round: (bucket, node, block, x, y, label) of what large buckets still have to compare across blocks.
+
+    Few nodes outside the main component are a block of their own, -1, which meets itself and every other.
+    """
+    sizes = large.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    rest = large.join(sizes, "bucket")
+    every = lambda first: F.sequence(F.lit(first), F.col("blocks") - 1)
+    outside = F.col("label") != F.col("main")
+    few = rest.where(F.col("others") <= BLOCK).select(
+        "bucket", "node", F.when(outside, -1).otherwise(F.col("block")).alias("block"), F.explode(F.when(outside, every(-1)).otherwise(F.array("block"))).alias("x"), F.lit(-1).alias("y"), "label"
+    )
+    many = rest.where(F.col("others") > BLOCK).withColumn("other", F.explode(every(0))).where("other <> block")
+    many = many.select("bucket", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "label")
+    return few.unionByName(many)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of at least percent/100 over shingles of `width` words.
 
@@ -247,11 +270,11 @@ def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     threshold = percent / 100
     least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS)
     rows = 8 if percent >= 84 else 6
-    sketched = docs.withColumn("mark", F.xxhash64("text")).mapInPandas(_sketch(width), "doc_id long, mark long, n long, node long, regs binary")
+    sketched = docs.withColumn("mark", F.xxhash64("text")).mapInPandas(tidy(_sketch(width)), "doc_id long, mark long, n long, node long, regs binary")
     sketched = materialise(sketched, "sketches")
     full = sketched.where("n > 0")
     nodes = materialise(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "regs")).alias("first")).select("node", "first.doc_id", "first.n", "first.regs"), "nodes")
-    bands = materialise(nodes.select("node", "regs").mapInPandas(_bands(rows), "bucket long, node long"), "bands")
+    bands = materialise(nodes.select("node", "regs").mapInPandas(tidy(_bands(rows)), "bucket long, node long"), "bands")
     met = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("m > 1")
     low = F.min(F.struct(F.col("bucket").bitwiseAND(63).alias("band"), "bucket"))["bucket"]
     met = met.groupBy("m", "lo", "hi", "mark").agg(low.alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -259,19 +282,23 @@ def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ends = materialise(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
     few = ends.count()
     chosen = bounded_broadcast(ends.select(F.col("doc_id").alias("id")).distinct(), few, BROADCAST_IDS)
-    bodies = docs.join(chosen, F.expr("doc_id <=> id"), "left_semi").mapInPandas(_with_node(width), "node long, text string")
+    bodies = docs.join(chosen, F.expr("doc_id <=> id"), "left_semi").mapInPandas(tidy(_with_node(width)), "node long, text string")
     bodies = bodies.join(bounded_broadcast(ends.select("node"), few, BROADCAST_IDS), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     bodies = materialise(bodies.join(nodes.select("node", "n", "regs"), "node"), "bodies")
-    links = (
-        members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .join(bodies, "node")
-        .repartition("bucket", "x", "y")
-        .sortWithinPartitions("bucket", "x", "y")
-        .mapInPandas(_compare(width, percent, float(least), rows), "a long, b long")
-    )
-    groups = components(materialise(links, "links"))
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+
+    def compared(rows_: DataFrame) -> DataFrame:
+        found = rows_.join(bodies, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+        return found.mapInPandas(tidy(_compare(width, percent, float(least), rows)), "a long, b long")
+
+    own = dealt.select("bucket", "node", "block", F.col("block").alias("x"), F.col("block").alias("y"), F.col("node").alias("label"))
+    links = materialise(compared(own), "links")
+    groups = components(links)
+    large = dealt.where("blocks > 1").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = materialise(large, "large")
+    if not large.isEmpty():
+        links = links.unionByName(materialise(compared(_across(large)), "links"))
+        groups = components(links)
     named = nodes.select("node", "doc_id").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     where = named.join(heads, "label").select("node", "component_id")

@@ -58,8 +58,9 @@ def test_matches_brute_force(spark, width, percent):
     assert got(spark, rows, width=width, percent=percent) == brute(rows, width, percent)
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 4)
+@pytest.mark.parametrize("block", [1, 2, 4])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     rows = corpus(5)
     assert got(spark, rows, width=3, percent=85) == brute(rows, 3, 85)
 
