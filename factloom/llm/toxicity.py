@@ -1,9 +1,9 @@
 """Operator 2: toxicity by a bidirectional gated recurrent network over overlapping windows of words.
 
-A word enters as a learnt embedding and the log-odds of toxic texts among those that hold it,
-its characters as the mean learnt embedding of their trigrams and the highest log-odds of their runs of 3 to 5.  Two gated recurrent layers read a
-window forwards and backwards, attention pools their states, and a text's score is
-that of its highest window.  The network is trained in numpy on a bounded sample;
+A word enters as a learnt embedding, its characters as the learnt embeddings of their runs
+of 3 to 5; nothing is computed from the labels beside the network.  Two gated recurrent
+layers read a window forwards and backwards, attention pools their states, and a text's
+score is that of its highest window.  The network is trained in numpy on a bounded sample;
 tasks score every window of every text, with the inputs of distinct words computed once.
 """
 
@@ -19,19 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_documents
+from factloom.llm.common import as_documents, bounded_batches, tidy
 from factloom.llm.labelled import SAMPLE, held_out, sample
 
-WINDOW, STRIDE = 64, 48
-HIDDEN, EMBED = 8, 6
+WINDOW, STRIDE = 64, 32
+HIDDEN, EMBED = 8, 8
 #: Words with an embedding of their own, the most frequent ones; others have their characters alone.
 VOCABULARY = 20_000
 LEAST_TEXTS = 5
-TRIGRAMS, RUNS = 2048, 1 << 18
-LEAST_RUN_TEXTS = 12
-STEPS, BATCH, RATE, DECAY = 100, 192, 0.01, 0.4
-#: Windows of one text that training looks at (evenly spaced; scoring takes all), and windows scored at a time.
-TRAIN_WINDOWS, CHUNK = 256, 2048
+#: Buckets of the character runs' embeddings.
+RUNS = 1 << 15
+#: Steps on any windows of the texts, and in all; texts in a step, rate, decay of embeddings and share of words without their own one.
+FREE_STEPS, STEPS, BATCH, RATE, DECAY, DROP = 90, 160, 256, 0.01, 4.0, 0.7
+#: Share of clean windows that are cut to any length: a part of a clean text is clean.
+CROP = 0.5
+#: Steps between choices of the texts' highest windows, and windows scored at a time.
+AGAIN, CHUNK = 40, 2048
 #: Distinct raw words a task remembers; a full table starts anew.
 WORDS = 150_000
 THRESHOLD = 0.3
@@ -77,15 +80,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Weights, forward pass and gradients.  Row 0 of every word table is padding: its update gate keeps the state."""
 
-    def __init__(self, vocabulary: dict[str, int], prior: np.ndarray, run_prior: np.ndarray, seed: int = 2) -> None:
+    def __init__(self, vocabulary: dict[str, int], seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
-        size = 2 + EMBED + EMBED
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.vocabulary, self.prior, self.run_prior = vocabulary, prior.astype(np.float32), run_prior.astype(np.float32)
+        self.vocabulary = vocabulary
         self.p = {
             "word": draw(len(vocabulary) + 1, EMBED, scale=0.05),
-            "char": draw(TRIGRAMS, EMBED, scale=0.1),
-            "in": draw(size, 6 * HIDDEN, scale=0.3),
+            "char": draw(RUNS, EMBED, scale=0.05),
+            "in": draw(2 * EMBED, 6 * HIDDEN, scale=0.3),
             "bias": np.zeros(6 * HIDDEN, np.float32),
             "back": draw(2, HIDDEN, 3 * HIDDEN, scale=0.3),
             "look": draw(2 * HIDDEN, scale=0.3),
@@ -93,17 +95,18 @@ class Network:
             "base": np.array([-2.0], np.float32),
         }
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Vocabulary ids, priors, trigram buckets and where each word's begin, of normalised words."""
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vocabulary ids, buckets of character runs (one column a width) and where each word's begin, of normalised words."""
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         runs, cut = grams(words)
-        highest = np.maximum.reduceat(self.run_prior[runs % RUNS].max(1), cut[:-1]) if len(words) else np.zeros(0, np.float32)
-        return ids, np.stack([self.prior[ids], highest], 1), runs[:, 0] % TRIGRAMS, cut
+        return ids, runs % RUNS, cut
 
-    def inputs(self, ids: np.ndarray, priors: np.ndarray, buckets: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        mean = np.add.reduceat(self.p["char"][buckets], cut[:-1], axis=0) / np.diff(cut)[:, None]
+    def inputs(self, ids: np.ndarray, buckets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """The word's embedding beside the sum of its runs' over the root of their number."""
+        runs = self.p["char"][buckets[:, 0]] + self.p["char"][buckets[:, 1]] + self.p["char"][buckets[:, 2]]
+        runs = np.add.reduceat(runs, cut[:-1], axis=0) / np.sqrt(np.diff(cut))[:, None] if len(ids) else np.zeros((0, EMBED))
         own = np.where(ids[:, None] > 0, self.p["word"][ids], 0)
-        return np.concatenate([priors, own, mean], 1).astype(np.float32)
+        return np.concatenate([own, runs], 1).astype(np.float32)
 
     def table(self, x: np.ndarray) -> np.ndarray:
         """Gate inputs of words for both directions, after the padding row."""
@@ -168,9 +171,9 @@ class Network:
 
     def gradients(self, at: np.ndarray, labels: np.ndarray, words: tuple) -> dict[str, np.ndarray]:
         """Gradients of the mean log loss over windows `at` whose rows are 1 + positions in `words`."""
-        ids, priors, buckets, cut = words
+        ids, buckets, cut = words
         p, keep, out = self.p, [], {}
-        x = self.inputs(ids, priors, buckets, cut)
+        x = self.inputs(ids, buckets, cut)
         table = self.table(x)
         logit = self.forward(table, at, keep)
         states, weight, pooled = keep[2:]
@@ -201,9 +204,13 @@ class Network:
         out["in"], out["bias"] = x.T @ d_gate, d_gate.sum(0)
         d_x = d_gate @ p["in"].T
         out["word"], out["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(out["word"], ids, d_x[:, 2 : 2 + EMBED] * (ids > 0)[:, None])
+        np.add.at(out["word"], ids, d_x[:, :EMBED] * (ids > 0)[:, None])
         sizes = np.diff(cut)
-        np.add.at(out["char"], buckets, np.repeat(d_x[:, 2 + EMBED :] / sizes[:, None], sizes, axis=0))
+        d_run = np.repeat(d_x[:, EMBED:] / np.sqrt(sizes)[:, None], sizes, axis=0)
+        flat = buckets.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
+        out["char"][flat[order][edge]] = np.add.reduceat(np.tile(d_run, (3, 1))[order], edge, axis=0)
         return out
 
 
@@ -216,82 +223,63 @@ def _distinct(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _some(words: tuple, pick: np.ndarray) -> tuple:
     """The word features of a choice of words."""
-    ids, priors, buckets, cut = words
+    ids, buckets, cut = words
     sizes = np.diff(cut)[pick]
     begin = np.r_[0, np.cumsum(sizes)]
-    return ids[pick], priors[pick], buckets[np.repeat(cut[pick] - begin[:-1], sizes) + np.arange(begin[-1])], begin
-
-
-def _run_prior(words: list[list[str]], labels: np.ndarray, number: dict[str, int], share: float) -> np.ndarray:
-    """Log-odds of toxic texts among those that hold a run of characters; 0 for runs of few texts."""
-    seen = np.zeros((2, RUNS))
-    runs, cut = grams(list(number)) if number else (np.zeros((0, 3), np.uint32), np.zeros(1, int))
-    for found, label in zip(words, labels, strict=True):
-        if found:
-            own = np.unique(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
-            sizes = np.diff(cut)[own]
-            at = np.repeat(cut[own] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-            seen[int(label), np.unique(runs[at] % RUNS)] += 1
-    odds = np.log((seen[1] + 4 * share) / (seen[0] + 4 * (1 - share)) * (1 - share) / share)
-    return np.where(seen.sum(0) >= LEAST_RUN_TEXTS, np.clip(odds, -1, 4), 0)
+    return ids[pick], buckets[np.repeat(cut[pick] - begin[:-1], sizes) + np.arange(begin[-1])], begin
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 2) -> Network:
     """A network fitted to whole texts; one text of each label at least is needed for it to tell them apart.
 
-    Each text is represented by the window that the network rates highest, chosen again as it learns.
+    A text is represented by one of its windows: by any in the first steps, later by the one that the network rates highest.
     """
     words, texts = [[normal(w) for w in t.lower().split()] for t in texts], None
-    count, toxic = Counter(), Counter()
-    for found, label in zip(words, labels, strict=True):
+    count = Counter()
+    for found in words:
         count.update(set(found))
-        if label:
-            toxic.update(set(found))
-    common = [w for w, n in count.most_common(VOCABULARY) if n >= LEAST_TEXTS]
-    vocabulary = {w: k + 1 for k, w in enumerate(sorted(common))}
-    share = float(labels.mean()) if len(labels) else 0.5
-    share = min(max(share, 0.01), 0.99)
-    prior = np.zeros(len(vocabulary) + 1)
-    for w, k in vocabulary.items():
-        prior[k] = np.clip(np.log((toxic[w] + 4 * share) / (count[w] - toxic[w] + 4 * (1 - share)) * (1 - share) / share), -1, 4)
+    vocabulary = {w: k + 1 for k, w in enumerate(sorted(w for w, n in count.most_common(VOCABULARY) if n >= LEAST_TEXTS))}
+    net = Network(vocabulary, seed)
     number = {w: k for k, w in enumerate(sorted(count))}
-    net = Network(vocabulary, prior, _run_prior(words, labels, number, share), seed)
     if not number or labels.min() == labels.max():
+        share = min(max(float(labels.mean()), 0.01), 0.99) if len(labels) else 0.5
         net.p["out"][:] = 0
         net.p["base"][0] = np.log(share / (1 - share))
         return net
     known = net.features(list(number))
     of_text, windows = [], []
     for k, found in enumerate(words):
-        coded = np.array([number[w] + 1 for w in found], np.int64)
+        coded = np.array([number[w] + 1 for w in found], np.int32)
         starts = spans(len(coded))
-        for s in starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), TRAIN_WINDOWS)).astype(int))] if len(starts) else ():
-            windows.append(np.pad(coded[s : s + WINDOW], (0, max(0, WINDOW - len(coded)))))
-            of_text.append(k)
-    of_text, windows = np.array(of_text), np.array(windows)
-    rating = np.where(windows > 0, known[1].sum(1)[np.maximum(windows - 1, 0)], 0).sum(1)
+        if len(starts):
+            coded = np.pad(coded, (0, max(0, WINDOW - len(coded))))
+            windows.append(coded[starts[:, None] + np.arange(WINDOW)])
+            of_text.append(np.full(len(starts), k))
+    of_text, windows = np.concatenate(of_text), np.concatenate(windows)
     rng = np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
-    best, step = np.zeros(0, int), 0
-    while step < STEPS:
-        if step % 40 == 0:
-            if step:
+    queue = np.zeros(0, int)
+    for step in range(1, STEPS + 1):
+        again = step > FREE_STEPS and (step - FREE_STEPS - 1) % AGAIN == 0
+        if again or len(queue) < BATCH // 2:
+            if step <= FREE_STEPS:
+                rating = rng.random(len(windows))
+            elif again:
                 table = net.table(net.inputs(*known))
                 rating = np.concatenate([net.rate(table, windows[k : k + CHUNK]) for k in range(0, len(windows), CHUNK)])
             order = np.lexsort((rating, of_text))
-            best = order[np.r_[np.flatnonzero(np.diff(of_text[order])), len(order) - 1]]
-        for pick in np.array_split(rng.permutation(best), max(1, round(len(best) / BATCH))):
-            chosen, at = _distinct(windows[pick])
-            change = net.gradients(at, labels[of_text[pick]], _some(known, chosen))
-            step += 1
-            for k, g in change.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-                net.p[k] -= np.float32(RATE) * (1 - step / (STEPS + 50)) * (move + (DECAY * net.p[k] if k in ("word", "char") else 0))
-                net.p[k] = net.p[k].astype(np.float32)
-            if step % 40 == 0 or step >= STEPS:
-                break
+            queue = rng.permutation(order[np.r_[np.flatnonzero(np.diff(of_text[order])), len(order) - 1]])
+        pick, queue = queue[:BATCH], queue[BATCH:]
+        short = np.where((labels[of_text[pick]] == 0) & (rng.random(len(pick)) < CROP), rng.integers(1, WINDOW + 1, len(pick)), WINDOW)
+        chosen, at = _distinct(np.where(np.arange(WINDOW) < short[:, None], windows[pick], 0))
+        ids, buckets, cut = _some(known, chosen)
+        change = net.gradients(at, labels[of_text[pick]], (np.where(rng.random(len(ids)) < DROP, 0, ids), buckets, cut))
+        for k, g in change.items():
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.01 * (g * g - second[k])
+            move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            net.p[k] -= np.float32(RATE) * (1 - step / (STEPS + 50)) * (move + (DECAY * net.p[k] if k in ("word", "char") else 0))
+            net.p[k] = net.p[k].astype(np.float32)
     return net
 
 
@@ -305,7 +293,7 @@ class Scorer:
     def _anew(self) -> None:
         self.rows, self.used = {}, 1
         self.data = np.zeros((1024, 6 * HIDDEN), np.float32)
-        self.data[:1] = self.net.table(np.zeros((0, 2 + 2 * EMBED), np.float32))
+        self.data[:1] = self.net.table(np.zeros((0, 2 * EMBED), np.float32))
 
     def _learn(self, new: list[str]) -> None:
         table = self.net.table(self.net.inputs(*self.net.features([normal(w) for w in new])))[1:]
@@ -360,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Network:
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score): the score of every whole text, one row per input row; texts without words (null, empty) have 0.
 
-    The network (a few MB, bounded by VOCABULARY and TRIGRAMS) is sent to every executor once.
+    The network (a few MB, bounded by VOCABULARY and RUNS) is sent to every executor once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -369,18 +357,19 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scorer.scores(list(batch["text"])).astype(float)})
 
-    return as_documents(docs).mapInPandas(run, "doc_id long, score double")
+    return as_documents(docs).mapInPandas(tidy(run), "doc_id long, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; null ids are not held out, repeated rows score alike, an empty
-    table has no rows, and without usable labels every score is 1/2 or that of the one label there is."""
+    table has no rows.  Texts without words score 0; without usable labels every other score is 1/2, with one label alone its share."""
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that score below `threshold`; null and empty texts stay.  Rows never leave their task."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,4 +378,4 @@ def reject(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataF
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(scorer.scores(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -76,6 +76,40 @@ def test_gradients_match_differences(net):
         net.p = kept
 
 
+def plain_logit(net, words):
+    """The network word by word in plain loops, for one window."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, tx.HIDDEN
+    gates = []
+    for word in words:
+        runs = [sum(p["char"][int(x) % tx.RUNS] for x in column) for column in tx.grams([word])[0]]
+        own = p["word"][net.vocabulary[word]] if word in net.vocabulary else np.zeros(tx.EMBED)
+        gates.append(np.concatenate([own, sum(runs) / len(runs) ** 0.5]) @ p["in"] + p["bias"])
+    ways = []
+    for way, order in ((0, range(len(words))), (1, range(len(words) - 1, -1, -1))):
+        state, states = np.zeros(h), [None] * len(words)
+        for t in order:
+            g, r = gates[t][way * 3 * h : (way + 1) * 3 * h], state @ p["back"][way]
+            reset, update = sigmoid(g[:h] + r[:h]), sigmoid(g[h : 2 * h] + r[h : 2 * h])
+            new = np.tanh(g[2 * h :] + reset * r[2 * h :])
+            state = states[t] = (1 - update) * new + update * state
+        ways.append(states)
+    both = [np.concatenate([ways[0][t], ways[1][t]]) for t in range(len(words))]
+    look = np.array([s @ p["look"] for s in both])
+    weight = np.exp(look - look.max())
+    return sum(w * (s @ p["out"]) for w, s in zip(weight / weight.sum(), both)) + p["base"][0]
+
+
+def test_scores_equal_plain_loops_over_all_windows_of_whole_texts(net):
+    found = texts(12, 9)[0] + [" ".join(texts(3, 11)[0]), "vile", "?!  Nasty", "   "]
+    got = tx.Scorer(net).logits(found)
+    for text, logit in zip(found, got, strict=True):
+        words = [tx.normal(w) for w in text.lower().split()]
+        starts = {s for s in range(0, max(len(words) - tx.WINDOW, 1), tx.STRIDE)} | {max(len(words) - tx.WINDOW, 0)}
+        want = max(plain_logit(net, words[s : s + tx.WINDOW]) for s in starts) if words else -np.inf
+        np.testing.assert_allclose(logit, want, rtol=2e-3, atol=2e-3)
+
+
 def test_whole_texts_count_and_edges(spark, net):
     long = " ".join(["w1"] * 5000 + ["vile", "nasty"] + ["w2"] * 30)
     rows = [(1, long, 7), (2, None, 7), (3, "", 7), (None, "vile nasty vile", 7), (1, long, 7), (4, "w1 w2", 7)]
