@@ -34,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    found = tokens.decode(tokens.encode(docs, path), path)
+    found = tokens.encode(docs, path, decoded=True)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text")
 
 
