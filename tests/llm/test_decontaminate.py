@@ -17,7 +17,7 @@ def test_copies_and_new_parameters_are_found_and_chance_is_not(spark):
     shuffled = words[:]
     rng.shuffle(shuffled)
     docs = [
-        (1, "intro words here. " + ITEM + " more"), (2, "x y z. " + fresh.upper() if False else "x y z. " + fresh), (3, "x. " + broken),
+        (1, "intro words here. " + ITEM + " more"), (2, "x y z. " + fresh), (3, "x. " + broken),
         (4, "Some " + LONG.upper() + "!!!"), (5, " ".join(shuffled)), (6, None), (7, ""), (8, " ".join(words[:9])), (9, "filler " + " ".join(words[:12]) + " other end"),
     ]
     items = [(10, ITEM), (11, LONG), (12, None), (13, "too short")]
@@ -28,7 +28,7 @@ def test_copies_and_new_parameters_are_found_and_chance_is_not(spark):
 
 
 def brute(docs, items):
-    """Aligned runs word by word, for texts without numbers and names."""
+    """Aligned runs word by word, for texts without numbers and names; items shorter than a window are found whole."""
     out = {}
     for i, text in docs:
         d, hits = text.split(), []
@@ -37,6 +37,8 @@ def brute(docs, items):
             for offset in range(-len(w), len(d)):
                 same = [0 <= k + offset < len(d) and d[k + offset] == w[k] for k in range(len(w))]
                 covered = set()
+                if dc.SHORT <= len(w) < dc.WINDOW and all(same):
+                    covered.update(range(len(w)))
                 for k in range(len(w) - dc.WINDOW + 1):
                     if all(same[k : k + dc.WINDOW]):
                         covered.update(range(k, k + dc.WINDOW))
@@ -67,6 +69,15 @@ def test_matches_brute_force_on_plain_words(spark, monkeypatch, most):
     assert {r.doc_id for r in dc.clean(df, bench).collect()} == {i for i, _ in docs} - bad
 
 
+def test_one_question_with_its_numbers_many_times_and_a_very_long_text(spark):
+    """Every item of one template is found by a text of that template, and at the end of a long text too."""
+    items = [(k, ITEM.replace("120", str(200 + k))) for k in range(40)]
+    long = " ".join(f"w{k % 997}x" for k in range(60_000)) + ". " + ITEM
+    docs = [(1, ITEM), (2, long), (3, long[:-200])]
+    got = {r.doc_id: r.n_items for r in dc.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: 40, 2: 40, 3: 0}
+
+
 def test_nulls_repeats_and_no_rows(spark):
     bench = spark.createDataFrame([(1, LONG), (1, LONG)], "item_id long, text string")
     df = spark.createDataFrame([(1, LONG, "a"), (1, LONG, "a"), (1, "clean", "a"), (None, LONG, "a")], "doc_id long, text string, items string")
