@@ -38,10 +38,10 @@ def messages(relations: DataFrame, ignore: DataFrame | None = None) -> DataFrame
 
 
 def shared_resources(relations: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
-    """Writer -> reader over a shared resource."""
+    """Writer -> reader over a shared resource; of low confidence, as both may use it without one another."""
     used = relations if ignore is None else relations.join(ignore, "dst", "left_anti")
     used = used.withColumnRenamed("dst", "via")
-    return _flow(used.where("type = 'writesResource'"), used.where("type = 'readsResource'"), "via", "shared_resource")
+    return _flow(used.where("type = 'writesResource'"), used.where("type = 'readsResource'"), "via", "shared_resource").withColumn("confidence", F.lit("low"))
 
 
 def merge_flows(*flows: DataFrame) -> DataFrame:

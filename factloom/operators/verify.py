@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
 
 BEFORE, AFTER, PARTIAL = 2, 4, 0.5
+#: Characters and words of three characters that an anchor line has at least.
+ANCHOR_LENGTH, ANCHOR_WORDS = 8, 2
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -25,6 +27,22 @@ def check(citations: DataFrame, lines: DataFrame) -> DataFrame:
     found = asked.join(lines.select("path", F.col("line").alias("at"), F.col("text").alias("source")), ["path", "at"], "left")
     window = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda x: F.coalesce(x["source"], F.lit(""))), " ")
     grouped = found.groupBy("fact", "path", "line", "snippet").agg(window.alias("window"), F.count("source").alias("known"))
+    return _judged(grouped)
+
+
+def check_files(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """The result of `check` from whole texts (path, text): a line's window is made within its file's row, and a citation meets it in one equi-join."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r?\n$", ""), "\r?\n")
+    begin = lambda at: F.greatest(at - BEFORE, F.lit(1))
+    size = lambda at: F.least(at + AFTER, F.size("lines")) - begin(at) + 1
+    window = lambda at: F.struct(at.alias("line"), F.array_join(F.slice("lines", begin(at), size(at)), " ").alias("window"), size(at).alias("known"))
+    rows = files.where("text <> ''").select("path", lines.alias("lines"))
+    windows = rows.select("path", F.inline(F.transform(F.sequence(F.lit(1 - AFTER), F.size("lines") + BEFORE), window)))
+    found = citations.join(windows, ["path", "line"], "left")
+    return _judged(found.withColumns({"window": F.coalesce("window", F.lit("")), "known": F.coalesce("known", F.lit(0))}))
+
+
+def _judged(grouped: DataFrame) -> DataFrame:
     here, wanted = text.squeezed("window"), text.squeezed("snippet")
     words = F.array_distinct(F.filter(F.split(wanted, "[^a-z0-9_]+"), lambda w: F.length(w) >= 3))
     share = F.size(F.filter(words, lambda w: here.contains(w))) / F.greatest(F.size(words), F.lit(1))
@@ -46,10 +64,24 @@ def calibrate(facts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("fact", F.col("confidence").alias("before"), verdict.alias("verdict"), confidence.calibrated(F.col("confidence"), verdict).alias("after"))
 
 
+def anchor(snippet: Column) -> Column:
+    """The longest line of a snippet, the first of equal ones, in its squeezed form; null where it is too short to be told apart."""
+    lines = F.filter(F.split(snippet, "\r?\n"), lambda x: F.trim(x) != "")
+    ranked = F.array_sort(F.transform(lines, lambda x, k: F.struct((-F.length(F.trim(x))).alias("n"), k.alias("k"), x.alias("line"))))
+    line = text.squeezed(F.get(ranked, F.lit(0))["line"])
+    words = F.filter(F.split(line, "[^a-z0-9_]+"), lambda w: F.length(w) >= 3)
+    return F.when((F.length(line) >= ANCHOR_LENGTH) & (F.size(words) >= ANCHOR_WORDS), line)
+
+
 def relocate(citations: DataFrame, lines: DataFrame) -> DataFrame:
-    """(fact, path, line, found_line): the line nearest to the citation whose text is the snippet, ties to the smaller; null without one."""
-    keyed = lines.select("path", text.squeezed("text").alias("key"), F.col("line").alias("found"))
-    wanted = citations.withColumn("key", text.squeezed("snippet"))
-    hits = wanted.join(keyed, ["path", "key"], "left")
-    nearest = F.min_by("found", F.struct(F.abs(F.col("found") - F.col("line")), F.col("found")))
+    """(fact, path, line, found_line): the line nearest to the citation that holds the snippet's anchor, ties to the smaller; null without one.
+
+    A citation beyond the text goes to the first such line.
+    """
+    known = lines.groupBy("path").agg(F.max("line").alias("last"))
+    keyed = lines.select(F.col("path").alias("of"), text.squeezed("text").alias("source"), F.col("line").alias("found"))
+    wanted = citations.withColumn("anchor", anchor(F.col("snippet"))).join(known, "path", "left")
+    hits = wanted.join(keyed, (F.col("path") == F.col("of")) & F.col("source").contains(F.col("anchor")), "left")
+    inside = F.col("line").between(1, F.col("last"))
+    nearest = F.min_by("found", F.struct(F.when(inside, F.abs(F.col("found") - F.col("line"))).otherwise(F.lit(0)), F.col("found")))
     return hits.groupBy("fact", "path", "line").agg(nearest.alias("found_line"))

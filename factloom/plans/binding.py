@@ -66,7 +66,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fact, path, line, snippet, confidence): line items as facts that cite a line of a document, in truth or not."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "snippet"))
-    rows = lines.where("length(trim(snippet)) > 0 and at % 3 = 0")
+    rows = lines.where("length(trim(snippet)) > 0")
     return rows.select(
         F.expr("path * 100000 + at").alias("fact"), F.col("path").cast("string").alias("path"), F.expr("CASE WHEN at % 2 = 0 THEN at + 1 ELSE at + 4 END").alias("line"),
         F.expr("CASE WHEN at % 5 = 1 THEN concat(snippet, ' entirely otherwise worded') WHEN at % 5 = 2 THEN 'nothing of this kind' ELSE snippet END").alias("snippet"),
@@ -86,7 +86,7 @@ CTES = {
         CASE WHEN k % 5 = 1 THEN snippet || ' entirely otherwise worded' WHEN k % 5 = 2 THEN 'nothing of this kind' ELSE snippet END AS snippet,
         CASE WHEN k % 4 = 0 THEN 'low' WHEN k % 4 = 1 THEN 'medium' ELSE 'high' END AS confidence
         FROM (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS snippet, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)
-        WHERE length(trim(snippet)) > 0 AND k % 3 = 0""",
+        WHERE length(trim(snippet)) > 0""",
     "lines": r"""SELECT path, line, text FROM (SELECT doc_id AS path, unnest(string_split(regexp_replace(text, '\r?\n$', ''), chr(10))) AS text,
         unnest(range(1, 1 + len(string_split(regexp_replace(text, '\r?\n$', ''), chr(10))))) AS line FROM documents WHERE text <> '')""",
 }

@@ -11,6 +11,12 @@ from factloom.plans.binding import documents, entities, facts, table, with_ctes
 from factloom.plans.registry import query
 
 _CANON = r"regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g'), '^(.{{3,}}?)(?:serviceapi|apiservice|service|api|backend|frontend|client|gateway)+$', '\1')"
+_SLUG = "regexp_replace(regexp_replace(regexp_replace({0}, '[^a-z0-9:+-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
+_KIND, _REST = _SLUG.format("split_part({0}, ':', 1)"), "substr({0}, strpos({0}, ':') + 1)"
+_VALUE = f"CASE WHEN {_KIND} = 'schedule' THEN trim(regexp_replace({_REST}, '\\s+', ' ', 'g')) ELSE {_SLUG.format(_REST)} END"
+_TAG = f"CASE WHEN NOT contains({{0}}, ':') THEN {_SLUG} WHEN {_VALUE} = '' THEN {_KIND} ELSE {_KIND} || ':' || {_VALUE} END"
+_RAW_TAG = """CASE p_size % 7 WHEN 0 THEN concat(' Schedule: 0  ', p_size, ' * *') WHEN 1 THEN 'Lang: Node.js ' WHEN 2 THEN 'C#' WHEN 3 THEN upper(p_type) WHEN 4 THEN replace(p_type, ' ', '_/')
+    WHEN 5 THEN concat(p_type, ':') ELSE p_type END"""
 _NAME = r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim({0}), '[^A-Za-z0-9_.-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown')"
 
 
@@ -20,9 +26,14 @@ def canonical_key(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.canonical_key(name).alias("key"))
 
 
-@query("host_key", rf"SELECT page_id, {_CANON.format('''regexp_extract(regexp_replace(lower(url), '^https?://', ''), '^([^/:.]*)', 1)''')} AS key, regexp_matches(trim(lower(url)), '^[a-z][a-z0-9+.-]*://') AS is_url FROM pages")
+_HOST_LIKE = r"regexp_matches(trim(lower({0})), '^[a-z]+://|^[a-z0-9][a-z0-9.-]*\.(com|net|org|io|local|cloud|app|dev|co|me|us|gslb|svc|ai|google)([:/].*)?$')"
+_ADDRESS = "CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^https?://', '') WHEN page_id % 7 = 1 THEN 'app.config.value' ELSE url END"
+
+
+@query("host_key", rf"SELECT page_id, {_CANON.format('''regexp_extract(regexp_replace(lower(u), '^https?://', ''), '^([^/:.]*)', 1)''')} AS key, {_HOST_LIKE.format('u')} AS is_url FROM (SELECT page_id, {_ADDRESS} AS u FROM pages)")
 def host_key(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.host_key("url").alias("key"), text.looks_like_url("url").alias("is_url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.expr(_ADDRESS).alias("u"))
+    return rows.select("page_id", text.host_key("u").alias("key"), text.looks_like_url("u").alias("is_url"))
 
 
 @query("slug_name", f"SELECT p_partkey, {_NAME.format('''p_name || ' /' || p_type || '- ' ''')} AS slug FROM part")
@@ -42,9 +53,9 @@ def api_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.api_key(F.concat("p_name", F.lit(" REST api and "), "p_type")).alias("key"))
 
 
-@query("tag_normalize", "SELECT p_type AS tag, regexp_replace(regexp_replace(trim(lower(p_type)), '[^a-z0-9:.+#]+', '-', 'g'), '^-+|-+$', '', 'g') AS normal, count(*) AS n FROM part GROUP BY p_type")
+@query("tag_normalize", f"SELECT tag, {_TAG.format('trim(lower(tag))')} AS normal, count(*) AS n FROM (SELECT {_RAW_TAG} AS tag FROM part) GROUP BY tag")
 def tag_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("tag")).agg(F.count("*").alias("n")).select("tag", text.tag("tag").alias("normal"), "n")
+    return table(spark, sf_dir, "part").groupBy(F.expr(_RAW_TAG).alias("tag")).agg(F.count("*").alias("n")).select("tag", text.tag("tag").alias("normal"), "n")
 
 
 @query("tag_inventory", "SELECT p_type AS tag, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS brands, array_to_string(list_slice(list_sort(list(p_partkey)), 1, 5), ',') AS samples FROM part GROUP BY p_type")
@@ -59,11 +70,9 @@ def tag_inventory(spark, sf_dir):
     return every.join(first, F.expr("tag <=> of"), "left").select("tag", "n", "brands", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
-@query("spelling_groups", """SELECT normal, count(*) AS n_raw FROM (SELECT DISTINCT raw, regexp_replace(regexp_replace(trim(lower(raw)), '[^a-z0-9:.+#]+', '-', 'g'), '^-+|-+$', '', 'g') AS normal
-    FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE replace(p_type, ' ', '_') END AS raw FROM part)) GROUP BY normal HAVING count(*) > 1 OR max(raw) <> normal""")
+@query("spelling_groups", f"SELECT normal, count(*) AS n_raw FROM (SELECT DISTINCT raw, {_TAG.format('trim(lower(raw))')} AS normal FROM (SELECT {_RAW_TAG} AS raw FROM part)) GROUP BY normal HAVING count(*) > 1 OR max(raw) <> normal")
 def spelling_groups(spark, sf_dir):
-    raw = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.regexp_replace("p_type", " ", "_"))
-    rows = table(spark, sf_dir, "part").select(raw.alias("raw")).distinct().select("raw", text.tag("raw").alias("normal"))
+    rows = table(spark, sf_dir, "part").select(F.expr(_RAW_TAG).alias("raw")).distinct().select("raw", text.tag("raw").alias("normal"))
     return rows.groupBy("normal").agg(F.count("*").alias("n_raw"), F.max("raw").alias("m")).where("n_raw > 1 or m <> normal").drop("m")
 
 

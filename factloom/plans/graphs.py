@@ -93,6 +93,14 @@ _FLOW = """SELECT w.src, r.src AS dst, count(DISTINCT w.dst) AS n_via, sum(w.n_e
     CASE min(least(CASE w.confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, CASE r.confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END)) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'review' END AS confidence,
     '{2}' AS mechanism FROM relations w JOIN relations r ON w.dst = r.dst AND w.type = '{0}' AND r.type = '{1}' AND w.src <> r.src GROUP BY w.src, r.src"""
 _SHARED, _MESSAGES = _FLOW.format("writesResource", "readsResource", "shared_resource"), _FLOW.format("producesMessage", "consumesMessage", "message")
+_SHARED = f"SELECT * REPLACE ('low' AS confidence) FROM ({_SHARED})"
+
+
+@query("api_flow", with_ctes(f"SELECT * FROM ({_FLOW.format('readsResource', 'writesResource', 'api')})", "facts", "relations"))
+def api_flow(spark, sf_dir):
+    """Readers as consumers and writers as providers of an API."""
+    edges = relations(spark, sf_dir).where("type in ('readsResource', 'writesResource')")
+    return derive.api_calls(edges.withColumn("type", F.when(F.col("type") == "readsResource", "consumesApi").otherwise("providesApi")))
 
 
 @query("shared_resource_flow", with_ctes(_SHARED, "facts", "relations"))
@@ -114,13 +122,13 @@ def communication_merge(spark, sf_dir):
     return derive.merge_flows(derive.shared_resources(edges), derive.messages(edges))
 
 
-@query("api_collapse", "SELECT p_brand AS provider, count(*) AS n_apis, sum(p_size % 3)::BIGINT AS n_operations FROM part WHERE p_size % 50 < 3 GROUP BY p_brand HAVING count(*) >= 4 AND max(p_size % 3) <= 2")
+@query("api_collapse", "SELECT concat(p_brand, p_partkey % 997) AS provider, count(*) AS n_apis, sum(p_size % 5)::BIGINT AS n_operations FROM part GROUP BY 1 HAVING count(*) >= 2 AND max(p_size % 5) <= 2")
 def api_collapse(spark, sf_dir):
-    apis = table(spark, sf_dir, "part").where("p_size % 50 < 3").select(F.col("p_brand").alias("provider"), F.expr("p_size % 3").alias("n_operations"))
-    return derive.collapse_fragments(apis)
+    apis = table(spark, sf_dir, "part").select(F.expr("concat(p_brand, p_partkey % 997)").alias("provider"), F.expr("p_size % 5").alias("n_operations"))
+    return derive.collapse_fragments(apis, least=2)
 
 
-@query("broker_derive", "SELECT p_partkey, CASE WHEN contains(k, 'kafka') THEN 'kafka' WHEN contains(k, 'nats') THEN 'nats' END AS broker FROM (SELECT p_partkey, regexp_replace(lower(CASE WHEN p_size % 4 = 0 THEN 'Apache Kafka ' WHEN p_size % 4 = 1 THEN 'NA-TS ' ELSE '' END || p_name), '[^a-z0-9]+', '', 'g') AS k FROM part)")
+@query("broker_derive", "SELECT p_partkey, CASE WHEN contains(k, 'kafka') THEN 'Kafka' WHEN contains(k, 'nats') THEN 'NATS' END AS broker FROM (SELECT p_partkey, regexp_replace(lower(CASE WHEN p_size % 4 = 0 THEN 'Apache Kafka ' WHEN p_size % 4 = 1 THEN 'NA-TS ' ELSE '' END || p_name), '[^a-z0-9]+', '', 'g') AS k FROM part)")
 def broker_derive(spark, sf_dir):
     name = F.expr("concat(CASE WHEN p_size % 4 = 0 THEN 'Apache Kafka ' WHEN p_size % 4 = 1 THEN 'NA-TS ' ELSE '' END, p_name)")
     return table(spark, sf_dir, "part").select("p_partkey", text.broker(name).alias("broker"))

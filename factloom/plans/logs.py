@@ -23,7 +23,7 @@ _CHECKED = rf"""SELECT fact, path, line, CASE WHEN known = 0 THEN 'invalid_path'
 
 
 def _checked(spark, sf_dir):
-    return verify.check(citations(spark, sf_dir), _lines(spark, sf_dir))
+    return verify.check_files(citations(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
 
 
 @query("snippet_verify", with_ctes(f"SELECT fact, status FROM ({_CHECKED})", "cited", "lines"))
@@ -51,8 +51,12 @@ def calibrate(spark, sf_dir):
     return verify.calibrate(cited, verify.verdicts(_checked(spark, sf_dir)), verify.verdicts(here, ("code",)))
 
 
-@query("snippet_relocate", with_ctes(rf"""SELECT fact, arg_min(found, abs(found - line) * 1000000 + found) AS found_line FROM
-    (SELECT c.fact, c.line, l.line AS found FROM cited c LEFT JOIN lines l ON l.path = c.path AND {_SQ.format('l.text')} = {_SQ.format('c.snippet')}) GROUP BY fact""", "cited", "lines"))
+_ANCHOR = f"CASE WHEN length({_SQ.format('snippet')}) >= 8 AND len(list_filter(string_split_regex({_SQ.format('snippet')}, '[^a-z0-9_]+'), lambda w: length(w) >= 3)) >= 2 THEN {_SQ.format('snippet')} END"
+
+
+@query("snippet_relocate", with_ctes(rf'''SELECT fact, arg_min(found, CASE WHEN line BETWEEN 1 AND most THEN abs(found - line) ELSE 0 END * 1000000 + found) AS found_line FROM
+    (SELECT c.fact, c.line, m.most, l.line AS found FROM (SELECT *, {_ANCHOR} AS anchor FROM cited) c LEFT JOIN (SELECT path, max(line) AS most FROM lines GROUP BY path) m ON m.path = c.path
+    LEFT JOIN (SELECT path, line, {_SQ.format('text')} AS s FROM lines) l ON l.path = c.path AND contains(l.s, c.anchor)) GROUP BY fact''', "cited", "lines"))
 def snippet_relocate(spark, sf_dir):
     return verify.relocate(citations(spark, sf_dir), _lines(spark, sf_dir)).select("fact", "found_line")
 

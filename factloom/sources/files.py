@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that hold no sources, HTTP methods of an API description, marks of dependency lines by manifest.
-SKIPPED = ("node_modules", "vendor", "dist", "build", "target", "venv", ".venv", ".git", ".idea", "__pycache__")
+SKIPPED = (
+    ".git", "node_modules", "target", "build", "dist", "out", "vendor", ".venv", "venv", "__pycache__", "test", "tests", "__tests__", "spec", "specs", "e2e",
+    "example", "examples", "sample", "samples",
+)
 METHODS = ("get", "put", "post", "delete", "patch", "head", "options")
 MANIFESTS = {
     "requirements.txt": r"^\s*([A-Za-z0-9_.-]+)\s*(?:[=<>~!\[].*)?$",
@@ -41,7 +46,9 @@ def last(rows: DataFrame, order: str, n: int) -> DataFrame:
 def repository_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the files below a folder, without those in folders that hold no sources."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    kept = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    base = folder.rstrip("/").rpartition("://")[2].removeprefix("file:")
+    below = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
+    kept = rows.where(~F.arrays_overlap(F.split(below, "/"), F.array(*map(F.lit, SKIPPED))))
     return kept.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
