@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 MASK = (1 << 64) - 1
-#: Distinct words a task remembers hashes of; a full table starts anew.
-WORD_TABLE = 200_000
+#: Distinct words a task remembers hashes of, where an operator names no other number (some 180 bytes each).
+WORD_TABLE = 250_000
 #: Bytes of a batch of rows that Spark hands to Python.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -83,14 +83,18 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 class WordHashes(dict):
-    """UTF-8 word -> 64-bit hash, filled on demand and bounded."""
+    """UTF-8 word -> 64-bit hash, filled on demand; beyond `most` words it starts anew."""
+
+    def __init__(self, most: int = WORD_TABLE) -> None:
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > WORD_TABLE:
+        if len(self) > self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

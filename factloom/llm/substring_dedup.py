@@ -1,8 +1,9 @@
 """Operator 9: removal of passages that a document with a smaller doc_id has too, by suffix automata of reference documents.
 
-References are the corpus itself, so no bound on them is known and their automata
-are not broadcast: they are built in the tasks, from the repeated text of one
-reference document at a time, and only documents that may match are streamed past.
+References are the corpus itself.  The suffix automata of those that most words are
+streamed past are broadcast, HOT_WORDS words of them in all; for the rest no bound is
+known, so they are dealt out: each task builds those of its reference documents, from
+their repeated text alone, and only documents that may match are streamed past.
 
 * A window of WINDOW words has one anchor, the least hash among its runs of ANCHOR
   words; equal windows have equal anchors.  The least doc_id that has an anchor owns it.
@@ -12,12 +13,14 @@ reference document at a time, and only documents that may match are streamed pas
 * Windows that share an anchor but not their words with the owner are compared with one
   another by hash and least doc_id, which finds the rest exactly.
 
-A reference that very many words are streamed past is repeated over several tasks.
+A reference that very many words are streamed past is repeated over several tasks, and one
+with very many repeated anchors is split by anchors into pieces of about PIECE.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,13 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WordHashes, as_documents, bounded_broadcast, materialise, windows, words_of
+from factloom.llm.common import WordHashes, as_documents, bounded_broadcast, materialise, tidy, windows, words_of
 
 WINDOW = 13
 ANCHOR = 5
 #: Words streamed past one copy of a reference, about.
 STREAM_WORDS = 200_000
+#: Reference words whose automata are broadcast (some 500 bytes each), and words streamed past a reference that make it worth it.
+HOT_WORDS, HOT_STREAM = 30_000, 50_000
+#: Repeated anchors of a reference in one automaton, and references that may have more (16 bytes each).
+PIECE, PIECED = 20_000, 200_000
 BROADCAST_IDS = 1_000_000
+#: Distinct words a task remembers hashes of, and spans of a reference whose matching statistics it remembers.
+WORDS, REMEMBERED = 600_000, 5_000
 OWNER, MATCH, OPEN = 0, 1, 2
 
 
@@ -93,7 +102,7 @@ def _anchors(hashes: np.ndarray) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+    hashes = WordHashes(WORDS)
     for batch in batches:
         ids, found = [], []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -108,55 +117,113 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of windows whose anchors have the same owner, as (owner, doc_id, key, start, words)."""
-    hashes = WordHashes()
-    for batch in batches:
-        out = []
-        for doc_id, text, anchors, owners in zip(batch["doc_id"], batch["text"], batch["anchors"], batch["owners"], strict=True):
-            words = words_of(text)
-            if len(words) < WINDOW:
-                continue
-            own = np.asarray(anchors, np.int64).view(np.uint64)
-            order = np.argsort(own)
-            own, owners = own[order], np.asarray(owners, np.int64)[order]
-            here = _anchors(hashes.of(words))
-            at = np.minimum(np.searchsorted(own, here), len(own) - 1)
-            known = own[at] == here
-            owner = np.where(known, owners[at], 0)
-            edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (owner[1:] != owner[:-1]), True])
-            key = text_key(text)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if known[a]:
-                    out.append((owner[a], doc_id, key, a, b - a + WINDOW - 1, b" ".join(words[a : b + WINDOW - 1])))
-        if out:
-            yield pd.DataFrame(out, columns=["owner", "doc_id", "key", "start", "n", "words"])
+def _spans(pieces: dict[int, int]):
+    """Runs of windows whose anchors have the same owner and piece of it, as (owner, piece, doc_id, key, start, n, words)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes(WORDS)
+        for batch in batches:
+            out = []
+            for doc_id, text, anchors, owners in zip(batch["doc_id"], batch["text"], batch["anchors"], batch["owners"], strict=True):
+                words = words_of(text)
+                if len(words) < WINDOW:
+                    continue
+                own = np.asarray(anchors, np.int64).view(np.uint64)
+                order = np.argsort(own)
+                own, owners = own[order], np.asarray(owners, np.int64)[order]
+                here = _anchors(hashes.of(words))
+                at = np.minimum(np.searchsorted(own, here), len(own) - 1)
+                known = own[at] == here
+                owner, piece = np.where(known, owners[at], 0), np.zeros(len(here), np.int64)
+                if pieces:
+                    for one in np.unique(owner[known]).tolist():
+                        if one in pieces:
+                            piece = np.where(owner == one, (here % np.uint64(pieces[one])).astype(np.int64), piece)
+                edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1]), True])
+                key = text_key(text)
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    if known[a]:
+                        out.append((owner[a], piece[a], doc_id, key, a, b - a + WINDOW - 1, b" ".join(words[a : b + WINDOW - 1])))
+            if out:
+                yield pd.DataFrame(out, columns=["owner", "piece", "doc_id", "key", "start", "n", "words"])
+
+    return run
+
+
+class _Statistics(dict):
+    """A span's words -> its windows that are in the automaton, as (start, n), and the others, as (start, hash); a span that many documents share is streamed once."""
+
+    def __init__(self, automaton: SuffixAutomaton, hashes: WordHashes) -> None:
+        super().__init__()
+        self.automaton, self.hashes = automaton, hashes
+
+    def __missing__(self, words: bytes) -> tuple[list, list]:
+        tokens = words.split(b" ")
+        hit = self.automaton.longest(tokens)[WINDOW - 1 :] >= WINDOW
+        rest = np.flatnonzero(~hit)
+        h = windows(self.hashes.of(tokens), WINDOW).view(np.int64)[rest] if len(rest) else rest
+        found = list(zip(*_ranges(hit), strict=True)), list(zip(rest, h, strict=True))
+        if len(self) < REMEMBERED:
+            self[words] = found
+        return found
+
+    def rows(self, words: bytes, doc_id: int, key: int, start: int) -> list[tuple]:
+        inside, outside = self[words]
+        return [(MATCH, doc_id, key, start + a, n, 0) for a, n in inside] + [(OPEN, doc_id, key, start + a, 1, h) for a, h in outside]
+
+
+_JUDGED = ["kind", "doc_id", "key", "start", "n", "h"]
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (owner, salt, role): an owner's spans, then the documents to be matched with them."""
-    hashes = WordHashes()
-    current, automaton, reference = None, None, []
+    """Rows sorted by (owner, piece, salt, role): an owner's spans, then the documents to be matched with them."""
+    hashes = WordHashes(WORDS)
+    current, known, reference, seen = None, None, [], set()
     for batch in batches:
         out = []
-        for owner, salt, role, doc_id, key, start, words in zip(*(batch[c] for c in ("owner", "salt", "role", "doc_id", "key", "start", "words")), strict=True):
-            if (owner, salt) != current:
-                current, automaton, reference = (owner, salt), None, []
-            tokens = words.split(b" ")
+        for owner, piece, salt, role, doc_id, key, start, words in zip(*(batch[c] for c in ("owner", "piece", "salt", "role", "doc_id", "key", "start", "words")), strict=True):
+            if (owner, piece, salt) != current:
+                current, known, reference, seen = (owner, piece, salt), None, [], set()
             if role == OWNER:
-                reference += [len(reference), *tokens]
+                if words not in seen:
+                    seen.add(words)
+                    reference += [len(reference), *words.split(b" ")]
                 continue
-            if automaton is None:
-                automaton, reference = SuffixAutomaton(reference), []
-            hit = automaton.longest(tokens)[WINDOW - 1 :] >= WINDOW
-            for a, n in zip(*_ranges(hit), strict=True):
-                out.append((MATCH, doc_id, key, start + a, n, 0))
-            rest = np.flatnonzero(~hit)
-            if len(rest):
-                h = windows(hashes.of(tokens), WINDOW).view(np.int64)
-                out += [(OPEN, doc_id, key, start + a, 1, h[a]) for a in rest]
+            if known is None:
+                known, reference, seen = _Statistics(SuffixAutomaton(reference), hashes), [], set()
+            out += known.rows(words, doc_id, key, start)
         if out:
-            yield pd.DataFrame(out, columns=["kind", "doc_id", "key", "start", "n", "h"])
+            yield pd.DataFrame(out, columns=_JUDGED)
+
+
+def _hot(automata):
+    """Spans streamed through the broadcast automata of their owners."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes(WORDS)
+        known = {owner: _Statistics(automaton, hashes) for owner, automaton in automata.value.items()}
+        for batch in batches:
+            rows = zip(*(batch[c] for c in ("owner", "words", "doc_id", "key", "start")), strict=True)
+            out = list(chain.from_iterable(known[owner].rows(words, doc_id, key, start) for owner, words, doc_id, key, start in rows))
+            if out:
+                yield pd.DataFrame(out, columns=_JUDGED)
+
+    return run
+
+
+def _broadcast_automata(spans: DataFrame) -> dict[int, SuffixAutomaton]:
+    """Automata of the references that most words are streamed past, HOT_WORDS of their words at most."""
+    sums = spans.groupBy("owner").agg(F.sum(F.when(F.col("doc_id") == F.col("owner"), F.col("n"))).alias("own"), F.sum(F.when(F.col("doc_id") != F.col("owner"), F.col("n"))).alias("past"))
+    room, chosen = HOT_WORDS, []
+    for row in sums.where((F.col("past") >= HOT_STREAM) & (F.col("own") <= HOT_WORDS)).orderBy(F.desc("past"), "owner").limit(HOT_WORDS // WINDOW).collect():
+        if row.own <= room:
+            chosen.append(row.owner)
+            room -= row.own
+    texts: dict[int, list] = {owner: [] for owner in chosen}
+    if chosen:
+        for row in spans.where((F.col("doc_id") == F.col("owner")) & F.col("owner").isin(chosen)).select("owner", "words").distinct().collect():
+            texts[row.owner] += [len(texts[row.owner]), *bytes(row.words).split(b" ")]
+    return {owner: SuffixAutomaton(tokens) for owner, tokens in texts.items()}
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,26 +245,39 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, key, start, n): runs of n windows of WINDOW words that also start in a document with a smaller doc_id; key is the text's hash."""
     known = as_documents(docs).where("doc_id is not null")
-    anchors = materialise(known.mapInPandas(_shared, "anchor long, doc_id long"), "anchors")
+    anchors = materialise(known.mapInPandas(tidy(_shared), "anchor long, doc_id long"), "anchors")
     owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other")
     lists = anchors.distinct().join(owners, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("owner").alias("owners"))
     lists = materialise(lists, "lists")
     count = lists.count()
     chosen = bounded_broadcast(lists.select("doc_id"), count, BROADCAST_IDS)
-    spans = known.join(chosen, "doc_id", "left_semi").join(lists, "doc_id").mapInPandas(_spans, "owner long, doc_id long, key long, start long, n long, words binary")
-    spans = materialise(spans, "spans")
-    load = spans.where("doc_id <> owner").groupBy("owner").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("salts"))
+    piece = PIECE
+    while lists.where(F.size("anchors") > piece).count() > PIECED:
+        piece *= 2
+    pieces = {r.doc_id: r.n for r in lists.where(F.size("anchors") > piece).select("doc_id", F.ceil(F.size("anchors") / piece).cast("int").alias("n")).collect()}
+    schema = "owner long, piece long, doc_id long, key long, start long, n long, words binary"
+    spans = materialise(known.join(chosen, "doc_id", "left_semi").join(lists, "doc_id").mapInPandas(tidy(_spans(pieces)), schema), "spans")
+    other = F.col("doc_id") != F.col("owner")
+    automata = _broadcast_automata(spans)
+    hot = F.col("owner").isin(list(automata))
+    judged_schema = "kind int, doc_id long, key long, start long, n long, h long"
+    shared = docs.sparkSession.sparkContext.broadcast(automata)
+    near = spans.where(hot & other).select("owner", "words", "doc_id", "key", "start").mapInPandas(tidy(_hot(shared)), judged_schema)
+    spans = spans.where(~hot)
+    load = spans.where(other).groupBy("owner", "piece").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("salts"))
     load = materialise(load.where("salts > 1"), "load")
-    salted = spans.join(bounded_broadcast(load, load.count(), BROADCAST_IDS), "owner", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    role = F.when(F.col("doc_id") == F.col("owner"), OWNER).otherwise(MATCH)
+    salted = spans.join(bounded_broadcast(load, load.count(), BROADCAST_IDS), ["owner", "piece"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    role = F.when(other, MATCH).otherwise(OWNER)
     pick = F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int")
     salts = F.when(role == OWNER, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(pick))
     judged = (
-        salted.select("owner", "doc_id", "key", "start", "words", role.alias("role"), F.explode(salts).alias("salt"))
-        .repartition("owner", "salt")
-        .sortWithinPartitions("owner", "salt", "role")
-        .mapInPandas(_stream, "kind int, doc_id long, key long, start long, n long, h long")
+        salted.select("owner", "piece", "doc_id", "key", "start", "words", role.alias("role"), F.explode(salts).alias("salt"))
+        .repartition("owner", "piece", "salt")
+        .sortWithinPartitions("owner", "piece", "salt", "role")
+        .mapInPandas(tidy(_stream), judged_schema)
     )
+    if automata:
+        judged = judged.unionByName(near)
     judged = materialise(judged, "judged")
     open_ = judged.where(F.col("kind") == OPEN)
     least = open_.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
@@ -219,10 +299,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ids = bounded_broadcast(gone.select("doc_id").distinct(), count, BROADCAST_IDS)
     none = F.lit(None).cast("array<long>")
     whole = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", none.alias("starts"), none.alias("sizes"))
-    keyed = docs.join(ids, "doc_id", "left_semi").mapInPandas(_with_key, "doc_id long, key long, text string")
+    keyed = docs.join(ids, "doc_id", "left_semi").mapInPandas(tidy(_with_key), "doc_id long, key long, text string")
     some = keyed.join(gone, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "sizes")
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return whole.mapInPandas(_cut, schema).unionByName(some.mapInPandas(_cut, schema))
+    return whole.mapInPandas(tidy(_cut), schema).unionByName(some.mapInPandas(tidy(_cut), schema))
 
 
 def _with_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
