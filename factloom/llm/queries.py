@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, fingerprints, near_dedup, packing, quality, secrets, substring_dedup, tokens, toxicity
+from factloom.llm import decontaminate, fingerprints, near_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
 from factloom.llm.common import table
 
 
@@ -70,4 +70,5 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins of op7 and op9; the other eight need a network, a tokenizer, signatures or a method's own spans, and are tested in tests/llm."""
+    return dict(sql.ORACLE)
