@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
+from factloom.operators import graph
 
 K = 60
+# Entries of an entity that are looked at, kinds that are searched, words of a query that name nothing.
+ATTRIBUTES, GLOSSARY = 30, 40
+KINDS = ("Component", "API", "Resource", "Provider")
+GENERIC_TERMS = (
+    "service", "services", "component", "components", "system", "systems", "api", "apis", "resource", "resources", "provider", "providers",
+    "which", "what", "where", "does", "from", "into", "with", "uses",
+)
 WEIGHTS = {"vector": 1.0, "lexical": 0.6, "metadata": 0.6}
 
 
@@ -30,8 +38,49 @@ def dense(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("ref", F.round(score, 9).alias("score")).where("score > 0")
 
 
-def top(scored: DataFrame, n: int) -> DataFrame:
-    """(ref, rank): the n best, from 0, ties by ref.  The limit comes first, so only n rows are ranked in one task."""
+def candidates(entities: DataFrame) -> DataFrame:
+    """The entities of kinds that are searched."""
+    return entities.where(F.col("kind").isin(*KINDS))
+
+
+def metadata(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(ref, score): how many of the first `attributes` and `glossary` entries (arrays of texts) hold a term, where some do."""
+    if not terms:
+        return docs.select("ref", F.lit(0.0).alias("score")).limit(0)
+    told = lambda entry: reduce(lambda x, y: x | y, (F.lower(entry).contains(t) for t in terms))
+    hits = lambda name, most: F.size(F.filter(F.slice(F.coalesce(name, F.array().cast("array<string>")), 1, most), told))
+    return docs.select("ref", (hits("attributes", ATTRIBUTES) + hits("glossary", GLOSSARY)).cast("double").alias("score")).where("score > 0")
+
+
+def exact_boost(names: Column | str, terms: list[str]) -> Column:
+    """1 where a term that isn't generic is one of an entity's names (an array), as written in lower case or squashed; else 0."""
+    wanted = [t.lower() for t in terms if t and t.lower() not in GENERIC_TERMS]
+    if not wanted:
+        return F.lit(0.0)
+    low = F.transform(names, lambda n: F.lower(F.coalesce(n, F.lit(""))))
+    known = F.array_union(low, F.transform(low, text.squashed))
+    return F.when(F.arrays_overlap(known, F.array(*map(F.lit, wanted))), 1.0).otherwise(0.0)
+
+
+def ranked(scored: DataFrame) -> DataFrame:
+    """(ref, rank): the exact rank of every row, from 0, best first, ties by ref.
+
+    Rows are spread by range, so a task sorts its own range alone; the sizes of the ranges (one row each) give the offsets.
+    The ranges are checkpointed, as a second sampling could draw them otherwise.
+    """
+    spark = scored.sparkSession
+    spread = scored.select("ref", "score").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("score"), F.asc("ref"))
+    held = graph.cut(spread.withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "ref"))
+    return held.withColumn("own", own).join(F.broadcast(offsets), "part").select("ref", (F.col("offset") + F.col("own") - 1).alias("rank"))
+
+
+def top(scored: DataFrame, n: int | None = None) -> DataFrame:
+    """(ref, rank) of all rows, or of the n best alone.  With n, the limit comes first, so only n rows are ranked in one task."""
+    if n is None:
+        return ranked(scored)
     best = scored.orderBy(F.desc("score"), "ref").limit(n)
     return best.select("ref", (F.row_number().over(Window.orderBy(F.desc("score"), "ref")) - 1).alias("rank"))
 
@@ -43,11 +92,20 @@ def fuse(lists: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("ref").agg(F.sum("part").alias("score"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 8, deep: int = 200) -> DataFrame:
-    """(ref, score, confidence): fused lists weighted by confidence, best first."""
-    lists = {"lexical": top(lexical(docs, text.search_terms(query)), deep), "vector": top(dense(vectors, vector), deep)}
-    found = fuse(lists).join(docs.select("ref", "confidence"), "ref")
-    score = F.round(F.col("score") * confidence.weight(F.col("confidence")), 6)
+def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 8, deep: int | None = None, least: str | None = None) -> DataFrame:
+    """(ref, score, confidence): fused lists weighted by confidence, an exact name first of all, best first.
+
+    Whole lists are fused; `deep` cuts each to its best rows for an approximate but cheaper answer.  `docs` has ref,
+    haystack and confidence; `attributes` and `glossary` give a third list, `names` the boost.  `least` is the least confidence.
+    """
+    terms = text.search_terms(query)
+    lists = {"lexical": top(lexical(docs, terms), deep), "vector": top(dense(vectors, vector), deep)}
+    if {"attributes", "glossary"} <= set(docs.columns):
+        lists["metadata"] = top(metadata(docs, terms), deep)
+    boost = exact_boost("names", terms) if "names" in docs.columns else F.lit(0.0)
+    kept = docs if least is None else docs.where(confidence.query_rank(F.col("confidence")) >= confidence.QUERY_RANK[least])
+    found = fuse(lists).join(kept.select("ref", "confidence", boost.alias("boost")), "ref")
+    score = F.round(F.col("score") * confidence.weight(F.col("confidence")) + F.col("boost"), 6)
     return found.select("ref", score.alias("score"), "confidence").orderBy(F.desc("score"), "ref").limit(limit)
 
 

@@ -214,20 +214,38 @@ def cosine_topk(spark, sf_dir):
     return found.orderBy(F.desc("score"), "ref").limit(50)
 
 
-_RANKED = "SELECT ref, row_number() OVER (ORDER BY score DESC, ref) - 1 AS rank FROM ({}) ORDER BY score DESC, ref LIMIT 200"
+_RANKED = "SELECT ref, row_number() OVER (ORDER BY score DESC, ref) - 1 AS rank FROM ({})"
 _FUSED = f"SELECT ref, sum(part) AS score FROM (SELECT ref, 0.6::DOUBLE / (rank + 61) AS part FROM ({_RANKED.format(_LEXICAL)}) UNION ALL SELECT ref, 1.0::DOUBLE / (rank + 61) FROM ({_RANKED.format(_DENSE)})) GROUP BY ref"
 
 
 @query("rrf_fusion", with_ctes(f"SELECT ref, round(score, 6) AS score FROM ({_FUSED})", "docs"))
 def rrf_fusion(spark, sf_dir):
-    lists = {"lexical": search.top(search.lexical(documents(spark, sf_dir), TERMS), 200), "vector": search.top(search.dense(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)), 200)}
+    lists = {"lexical": search.top(search.lexical(documents(spark, sf_dir), TERMS)), "vector": search.top(search.dense(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)))}
     return search.fuse(lists).select("ref", F.round("score", 6).alias("score"))
 
 
-@query("hybrid_search", with_ctes(f"""SELECT f.ref, round(score * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.4 WHEN 'review' THEN 0.1 ELSE 0.5 END::DOUBLE, 6) AS score, confidence
-    FROM ({_FUSED}) f JOIN docs ON docs.ref = f.ref ORDER BY 2 DESC, 1 LIMIT 8""", "docs"))
+_ENTRIES = "len(list_filter(list_slice({0}, 1, {1}), lambda x: " + " OR ".join(f"contains(x, '{t}')" for t in TERMS) + "))"
+_METADATA = f"SELECT ref, score FROM (SELECT ref, {_ENTRIES.format('attributes', 30)} + {_ENTRIES.format('glossary', 40)} AS score FROM named) WHERE score > 0"
+_NAMED = "SELECT ref, string_split(haystack, chr(10)) AS attributes, string_split(haystack, '. ') AS glossary, list_slice(string_split(haystack, ' '), 1, 6) AS names FROM docs"
+_BOOST = f"CASE WHEN list_has_any(list_concat(names, list_transform(names, lambda x: regexp_replace(x, '[^a-z0-9]+', '', 'g'))), {[t for t in TERMS if t not in search.GENERIC_TERMS]}) THEN 1.0 ELSE 0.0 END"
+
+
+def _named(spark, sf_dir):
+    """Documents with their lines as attributes, their sentences as glossary entries and their first six words as names."""
+    words = F.slice(F.split("haystack", " "), 1, 6)
+    return documents(spark, sf_dir).withColumns({"attributes": F.split("haystack", "\n"), "glossary": F.split("haystack", r"\. "), "names": words})
+
+
+@query("metadata_hits", with_ctes(_METADATA, "docs").replace(" SELECT ref, score", f", named AS ({_NAMED}) SELECT ref, score", 1))
+def metadata_hits(spark, sf_dir):
+    return search.metadata(_named(spark, sf_dir), TERMS).select("ref", F.col("score").cast("long").alias("score"))
+
+
+@query("hybrid_search", with_ctes(f"""SELECT f.ref, round(score * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.4 WHEN 'review' THEN 0.1 ELSE 0.5 END::DOUBLE + {_BOOST}, 6) AS score, confidence
+    FROM (SELECT ref, sum(score) AS score FROM ({_FUSED} UNION ALL SELECT ref, 0.6::DOUBLE / (rank + 61) FROM ({_RANKED.format(_METADATA)})) GROUP BY ref) f
+    JOIN docs ON docs.ref = f.ref JOIN named ON named.ref = f.ref ORDER BY 2 DESC, 1 LIMIT 8""", "docs").replace(" SELECT f.ref", f", named AS ({_NAMED}) SELECT f.ref", 1))
 def hybrid_search(spark, sf_dir):
-    return search.hybrid(documents(spark, sf_dir), _vectors(spark, sf_dir), QUESTION, _query_vector(spark, sf_dir))
+    return search.hybrid(_named(spark, sf_dir), _vectors(spark, sf_dir), QUESTION, _query_vector(spark, sf_dir))
 
 
 _W = "list_filter(string_split_regex(haystack, '[^a-z0-9]+'), lambda w: w <> '')"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,8 +36,12 @@ def lineage_events(relations: DataFrame, now: str) -> DataFrame:
 
 
 def system_pages(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(system, page): Markdown of each owner's components with what they read and write, at most 100 lines a component."""
-    edges = relations.groupBy("src").agg(F.slice(F.array_sort(F.collect_set(F.concat(F.lit("  - "), "type", F.lit(" "), "dst"))), 1, 100).alias("lines"))
-    rows = entities.where("kind = 'Component'").join(edges.withColumnRenamed("src", "ref"), "ref", "left")
-    block = F.concat_ws("\n", F.concat(F.lit("- "), "name"), F.array_join(F.coalesce("lines", F.array()), "\n"))
-    return rows.groupBy(F.col("owner").alias("system")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(block))).alias("page"))
+    """(system, component, at, line): Markdown lines of each owner's components with all they read and write, in the order (system, component, at).
+
+    One row per line, so a page of any length is spread over tasks; line 0 names the component.
+    """
+    owned = entities.where("kind = 'Component'").select("ref", "name", F.col("owner").alias("system"))
+    edges = relations.select("src", "type", "dst").distinct().join(owned.withColumnRenamed("ref", "src"), "src")
+    at = F.row_number().over(Window.partitionBy("system", "name", "src").orderBy("type", "dst"))
+    lines = edges.select("system", F.col("name").alias("component"), at.alias("at"), F.concat(F.lit("  - "), "type", F.lit(" "), "dst").alias("line"))
+    return owned.select("system", F.col("name").alias("component"), F.lit(0).alias("at"), F.concat(F.lit("- "), "name").alias("line")).unionByName(lines)
