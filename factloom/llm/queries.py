@@ -1,4 +1,4 @@
-"""The queries of the training-data operators: op1 to op10 over whole tables."""
+"""The queries of the training-data operators: op1 to op13 over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, fingerprints, near_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
+from factloom.llm import decontaminate, fill_middle, fingerprints, near_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
 from factloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.rearrange(table(spark, sf_dir, "documents")))
+
+
 QUERIES = (
     op1_secret_scans,
     op2_toxicity,
@@ -62,6 +66,7 @@ QUERIES = (
     op8_token_packing,
     op9_substring_dedup,
     op10_quality_classifier,
+    op13_fill_in_middle,
 )
 
 
@@ -70,5 +75,5 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL twins of op7 and op9; the other eight need a network, a tokenizer, signatures or a method's own spans, and are tested in tests/llm."""
+    """SQL twins of op7, op9 and op13; the others need a network, a tokenizer, signatures or a method's own spans, and are tested in tests/llm."""
     return dict(sql.ORACLE)

@@ -29,4 +29,14 @@ placed AS (SELECT doc_id, unnest(range(1, 1 + len(ws))) AS k, unnest(ws) AS word
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM placed ANTI JOIN covered USING (doc_id, k) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)"""
 
-ORACLE = {"op7_minhash_near_dedup": NEAR_DUPLICATES, "op9_substring_dedup": SUBSTRINGS}
+#: Two cuts of every text by the digest of its id; what is rebuilt is the text.
+FILL_MIDDLE = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS d FROM documents),
+draws AS (SELECT *, length(t) AS n, ('0x' || d[1:8])::UBIGINT AS h1, ('0x' || d[9:16])::UBIGINT AS h2, ('0x' || d[17:24])::UBIGINT AS h3, ('0x' || d[25:32])::UBIGINT AS h4 FROM texts),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, '<P>' || left(t, a) AS p, '<M>' || substring(t, a + 1, b - a) AS m, '<S>' || substring(t, b + 1) AS s FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
+ORACLE = {"op7_minhash_near_dedup": NEAR_DUPLICATES, "op9_substring_dedup": SUBSTRINGS, "op13_fill_in_middle": FILL_MIDDLE}
