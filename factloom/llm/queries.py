@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, fill_middle, fingerprints, near_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
+from factloom.llm import decontaminate, fill_middle, fingerprints, licenses, near_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
 from factloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.rearrange(table(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ QUERIES = (
     op8_token_packing,
     op9_substring_dedup,
     op10_quality_classifier,
+    op12_license_scans,
     op13_fill_in_middle,
 )
 
