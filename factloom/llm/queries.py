@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, fill_middle, fingerprints, licenses, near_dedup, packing, quality, secrets, sql, substring_dedup, tokens, toxicity
+from factloom.llm import decontaminate, fill_middle, fingerprints, licenses, near_dedup, packing, quality, secrets, spelling, sql, substring_dedup, tokens, toxicity
 from factloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = (
     op8_token_packing,
     op9_substring_dedup,
     op10_quality_classifier,
+    op11_spelling_variants,
     op12_license_scans,
     op13_fill_in_middle,
 )
@@ -80,5 +85,5 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL twins of op7, op9 and op13; the others need a network, a tokenizer, signatures or a method's own spans, and are tested in tests/llm."""
+    """SQL twins of op7, op9, op11 and op13; the others need a network, a tokenizer, signatures or a method's own spans, and are tested in tests/llm."""
     return dict(sql.ORACLE)

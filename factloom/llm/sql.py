@@ -39,4 +39,21 @@ parts AS (SELECT *, '<P>' || left(t, a) AS p, '<M>' || substring(t, a + 1, b - a
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
 
-ORACLE = {"op7_minhash_near_dedup": NEAR_DUPLICATES, "op9_substring_dedup": SUBSTRINGS, "op13_fill_in_middle": FILL_MIDDLE}
+#: CRC-32 by its table of 256 entries, made here by rule; near words by what is left without one code point.
+SPELLING = """
+WITH RECURSIVE crcs AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM found WHERE length(run) >= 6 GROUP BY doc_id, run),
+marked AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM runs, crcs),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM marked)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+rests AS (SELECT word, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM rests a JOIN rests b ON a.rest = b.rest AND a.p = b.p AND a.word < b.word UNION SELECT r.word, w.word FROM rests r JOIN words w ON r.rest = w.word),
+links AS (SELECT a AS word, b AS near FROM pairs UNION SELECT b, a FROM pairs),
+best AS (SELECT l.word, count(*) AS n_near, first(l.near ORDER BY v.n DESC, l.near) AS form, max(v.n) AS form_n FROM links l JOIN words v ON v.word = l.near GROUP BY l.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e USING (word)"""
+
+ORACLE = {"op7_minhash_near_dedup": NEAR_DUPLICATES, "op9_substring_dedup": SUBSTRINGS, "op11_spelling_variants": SPELLING, "op13_fill_in_middle": FILL_MIDDLE}
