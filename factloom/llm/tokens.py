@@ -225,7 +225,7 @@ def encoded_words(lists: DataFrame, path: str, pattern: str = WORD_PATTERN, lowe
     """(block, words, sizes, ids): the ids of the words of every block, each distinct word encoded once for the whole corpus.
 
     All blocks that have a word meet in one task, next to one another, so it is encoded when it first comes.  Words are
-    joined by NUL, the numbers of their ids are 16-bit and the ids 32-bit integers.
+    joined by NUL, the numbers of their ids and the ids are 32-bit integers.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +242,7 @@ def encoded_words(lists: DataFrame, path: str, pattern: str = WORD_PATTERN, lowe
             for at in (order[a:b] for a, b in itertools.pairwise(edge)):
                 own = [found[k] for k in at]
                 sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-                out.append((block[at[0]], "\0".join(words[at]).encode("utf-8", "surrogatepass"), sizes.astype("<u2").tobytes(), b"".join(own)))
+                out.append((block[at[0]], "\0".join(words[at]).encode("utf-8", "surrogatepass"), sizes.astype("<u4").tobytes(), b"".join(own)))
             if out:
                 yield pd.DataFrame(out, columns=["block", "words", "sizes", "ids"])
 
@@ -287,8 +287,10 @@ class _Table(dict):
         return found
 
     def add(self, words: bytes, sizes: bytes, ids: bytes) -> None:
-        ends = np.cumsum(np.frombuffer(sizes, "<u2"), dtype=np.int64) * 4
+        ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64) * 4
         cuts = [0, *ends.tolist()]
+        if cuts[-1] != len(ids):
+            raise ValueError(f"words of a block have {cuts[-1]} bytes of ids, not {len(ids)}")
         self.update(zip(words.decode("utf-8", "surrogatepass").split("\0"), (ids[a:b] for a, b in itertools.pairwise(cuts)), strict=True))
 
 

@@ -53,6 +53,20 @@ def test_encoding_and_decoding_match_the_library(spark):
         assert got == {i: e[1] for i, e in expected.items()}
 
 
+def test_words_of_any_length(spark):
+    """A word of more ids than 16 bits count, and words after it."""
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000))
+    rows, path = [(1, f"the cat {long} sat on the mat zebra"), (2, "zebra mat"), (3, long[:1000] + "\0 " + long)], P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = {i: np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in rows}
+    assert len(want[1]) > 4 * 65_535
+    assert {r.doc_id: bytes(r.ids) for r in tokens.encode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()} == want
+    table = tokens._Table(lambda: None)
+    with pytest.raises(ValueError):
+        table.add(b"one\0two", np.array([1, 2], "<u4").tobytes(), b"\0" * 8)
+
+
 def test_each_distinct_word_is_listed_once_a_block(spark):
     df = spark.createDataFrame([(k, "one two three ONE'S " + "four " * k) for k in range(50)], "doc_id long, text string").repartition(4)
     path = P.path("word_bpe_49k.json")
