@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from factloom.plans import assembly, catalog, decided, graphs, logs, passes, rules, traces  # noqa: F401
+    from factloom.plans import assembly, catalog, decided, discovery, graphs, logs, passes, rules, traces  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
