@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence
@@ -16,12 +16,19 @@ from factloom.functions import confidence
 _LOCAL: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set and all run on this machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return folder or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="graph-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder, or in a temporary one where none is set (tests)."""
+    """A checkpoint in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="graph-")))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
