@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
@@ -31,24 +31,34 @@ def check(citations: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def check_files(citations: DataFrame, files: DataFrame) -> DataFrame:
-    """The result of `check` from whole texts (path, text): a line's window is made within its file's row, and a citation meets it in one equi-join."""
+    """The result of `check` from whole texts (path, text): a line's window is made within its file's row, and a citation meets it in one equi-join.
+
+    Lines are squeezed once, before they stand in the windows of the lines around them."""
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r?\n$", ""), "\r?\n")
     begin = lambda at: F.greatest(at - BEFORE, F.lit(1))
     size = lambda at: F.least(at + AFTER, F.size("lines")) - begin(at) + 1
-    window = lambda at: F.struct(at.alias("line"), F.array_join(F.slice("lines", begin(at), size(at)), " ").alias("window"), size(at).alias("known"))
-    rows = files.where("text <> ''").select("path", lines.alias("lines"))
+    here = lambda at: F.array_join(F.filter(F.slice("lines", begin(at), size(at)), lambda x: x != ""), " ")
+    window = lambda at: F.struct(at.alias("line"), here(at).alias("here"), size(at).alias("known"))
+    # an explode keeps the squeezed lines a column of their own, that no later step makes again
+    rows = files.where("text <> ''").select("path", F.explode(F.array(F.transform(lines, text.squeezed))).alias("lines"))
     windows = rows.select("path", F.inline(F.transform(F.sequence(F.lit(1 - AFTER), F.size("lines") + BEFORE), window)))
     found = citations.join(windows, ["path", "line"], "left")
-    return _judged(found.withColumns({"window": F.coalesce("window", F.lit("")), "known": F.coalesce("known", F.lit(0))}))
+    return _told(found.withColumns({"here": F.coalesce("here", F.lit("")), "known": F.coalesce("known", F.lit(0))}))
 
 
 def _judged(grouped: DataFrame) -> DataFrame:
-    here, wanted = text.squeezed("window"), text.squeezed("snippet")
-    words = F.array_distinct(F.filter(F.split(wanted, "[^a-z0-9_]+"), lambda w: F.length(w) >= 3))
-    share = F.size(F.filter(words, lambda w: here.contains(w))) / F.greatest(F.size(words), F.lit(1))
+    return _told(grouped.withColumn("here", text.squeezed("window")))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """Citations with what stands `here`, squeezed, and how many of the lines are known."""
+    held = found.withColumn("wanted", text.squeezed("snippet"))
+    words = F.array_distinct(F.filter(F.split("wanted", "[^a-z0-9_]+"), lambda w: F.length(w) >= 3))
+    counted = held.withColumn("counts", F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("n"), F.size(F.filter(ws, lambda w: F.col("here").contains(w))).alias("met")))[0])
+    n, met = F.col("counts")["n"], F.col("counts")["met"]
     bad = F.col("path").contains("..") | (F.col("known") == 0)
-    status = F.when(bad, "invalid_path").when((wanted != "") & here.contains(wanted), "matched").when((F.size(words) > 0) & (share >= PARTIAL), "partial").otherwise("missing")
-    return grouped.select("fact", "path", "line", status.alias("status"))
+    status = F.when(bad, "invalid_path").when((F.col("wanted") != "") & F.col("here").contains(F.col("wanted")), "matched").when((n > 0) & (met / n >= PARTIAL), "partial").otherwise("missing")
+    return counted.select("fact", "path", "line", status.alias("status"))
 
 
 def verdicts(checked: DataFrame, good: tuple[str, ...] = ("matched", "partial")) -> DataFrame:
@@ -73,15 +83,47 @@ def anchor(snippet: Column) -> Column:
     return F.when((F.length(line) >= ANCHOR_LENGTH) & (F.size(words) >= ANCHOR_WORDS), line)
 
 
+def _grams(source: Column) -> Column:
+    """All runs of ANCHOR_LENGTH characters of a text."""
+    return F.regexp_extract_all(source, F.lit(f"(?s)(?=(.{{{ANCHOR_LENGTH}}}))"), F.lit(1))
+
+
+def holding_lines(anchors: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, anchor, found): the lines (path, line, source) that hold each anchor of their path.
+
+    A line that holds an anchor has all but its first and last words as whole words, so the two meet on the path and the longest of those; an anchor
+    without such a word meets on its first characters, with the runs of as many of each line.  Only lines that met so are searched."""
+    inner = F.slice(F.split("anchor", " "), 2, F.greatest(F.size(F.split("anchor", " ")) - 2, F.lit(0)))
+    longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    keyed = anchors.withColumns({"word": longest, "gram": F.when(longest.isNull(), F.substring("anchor", 1, ANCHOR_LENGTH))})
+    meet = lambda rows, name, parts: rows.where(F.col(name).isNotNull()).select("path", "anchor", name).join(parts, ["path", name])
+    by_word = meet(keyed, "word", lines.select("path", F.col("line").alias("found"), F.explode(F.array_distinct(F.split("source", " "))).alias("word")))
+    few = keyed.where("gram is not null")
+    left = lines.join(few.select("path").distinct(), "path", "left_semi")
+    by_gram = meet(few, "gram", left.select("path", F.col("line").alias("found"), F.explode(F.array_distinct(_grams(F.col("source")))).alias("gram")))
+    # only places are dealt out by words; the lines themselves come last
+    met = by_word.drop("word").unionByName(by_gram.drop("gram"))
+    held = met.join(lines.select("path", F.col("line").alias("found"), "source"), ["path", "found"])
+    return held.where(F.col("source").contains(F.col("anchor"))).select("path", "anchor", "found")
+
+
 def relocate(citations: DataFrame, lines: DataFrame) -> DataFrame:
     """(fact, path, line, found_line): the line nearest to the citation that holds the snippet's anchor, ties to the smaller; null without one.
 
-    A citation beyond the text goes to the first such line.
+    A citation beyond the text goes to the first such line.  Each anchor of a path is looked for once; its lines and its citations then go by in order.
     """
     known = lines.groupBy("path").agg(F.max("line").alias("last"))
-    keyed = lines.select(F.col("path").alias("of"), text.squeezed("text").alias("source"), F.col("line").alias("found"))
-    wanted = citations.withColumn("anchor", anchor(F.col("snippet"))).join(known, "path", "left")
-    hits = wanted.join(keyed, (F.col("path") == F.col("of")) & F.col("source").contains(F.col("anchor")), "left")
+    wanted = citations.withColumn("anchor", anchor(F.col("snippet"))).join(known, "path", "left").select("fact", "path", "line", "anchor", "last")
+    anchors = wanted.where("anchor is not null").select("path", "anchor").distinct()
+    hits = holding_lines(anchors, lines.select("path", "line", text.squeezed("text").alias("source")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    fact = citations.schema["fact"].dataType.simpleString()
+    placed = hits.select(none(fact, "fact"), "path", F.col("found").cast("long").alias("line"), "anchor", none("int", "last"), F.col("found").cast("long").alias("found"))
+    rows = wanted.withColumns({"line": F.col("line").cast("long"), "found": F.lit(None).cast("long")}).unionByName(placed).withColumn("asks", F.col("found").isNull())
+    of = Window.partitionBy("path", "anchor")
+    so_far = lambda *by: F.last("found", ignorenulls=True).over(of.orderBy(*by, "asks").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"before": so_far("line"), "after": so_far(F.desc("line")), "first": F.min("found").over(of)}).where("asks")
+    nearer = F.when(F.col("after").isNull() | (F.col("line") - F.col("before") <= F.col("after") - F.col("line")), F.col("before")).otherwise(F.col("after"))
     inside = F.col("line").between(1, F.col("last"))
-    nearest = F.min_by("found", F.struct(F.when(inside, F.abs(F.col("found") - F.col("line"))).otherwise(F.lit(0)), F.col("found")))
-    return hits.groupBy("fact", "path", "line").agg(nearest.alias("found_line"))
+    found = F.when(F.col("anchor").isNotNull(), F.when(inside, nearer).otherwise(F.col("first")))
+    return rows.select("fact", "path", F.col("line").cast(citations.schema["line"].dataType).alias("line"), found.cast("int").alias("found_line"))
