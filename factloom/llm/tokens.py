@@ -11,6 +11,7 @@ import array
 import functools
 import hashlib
 import itertools
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +20,10 @@ import regex
 import tokenizers
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import as_documents, bounded_batches, bounded_broadcast, materialise, shared_path, tidy
+from factloom.llm.common import as_documents, bounded_batches, bounded_broadcast, materialise, shared_dir, tidy
 
 #: Distinct pieces, and distinct words made of them, that a worker remembers.
 PIECES, UNITS = 600_000, 900_000
@@ -154,22 +155,30 @@ def version(path: str) -> str:
         return hashlib.sha256(file.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+def cache_folder(spark: SparkSession, path: str) -> str:
+    """The folder in the shared one that all runs with a vocabulary and library keep their counts in."""
+    return f"{shared_dir(spark).rstrip('/')}/factloom-token-counts/{version(path)[:16]}"
+
+
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 1024, pattern: str = BYTE_PATTERN) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row; null texts are empty.
 
-    `cache` is a Parquet folder of (version, digest, n_tokens) that later calls share; without it a new one starts in the
-    shared folder.  Contents are joined to it by SHA-256, of the misses one row a digest is encoded, and the counts are
-    appended.  Equal rows, equal ids and null ids are all counted; an empty table gives no rows.
+    `cache` is a Parquet folder of (version, digest, n_tokens) that later calls share; without it it is the vocabulary's
+    own in the shared folder.  Contents are joined to it by SHA-256, of the misses one row a digest is encoded, and the
+    counts are appended in a folder of the call's own, so calls at one time don't meet; a digest that two of them counted is
+    read once.  Equal rows, equal ids and null ids are all counted; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = as_documents(docs)
-    cache, mark = cache or shared_path(spark, "token-cache"), version(path)
+    cache, mark = cache or cache_folder(spark, path), version(path)
+    own = f"{cache}/run={uuid.uuid4().hex}"
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
     rows = materialise(docs.select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     firsts = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
     schema = "version string, digest binary, n_tokens long"
-    spark.createDataFrame([], schema).write.mode("append").parquet(cache)
-    stored = spark.read.schema(schema).parquet(cache).where(F.col("version") == mark)
+    counted = lambda: spark.read.schema(schema).option("basePath", cache).parquet(f"{cache}/run=*").where(F.col("version") == mark)
+    spark.createDataFrame([], schema).write.parquet(own)
+    stored = counted()
     misses = materialise(firsts.join(stored, "digest", "left_anti").select(F.col("doc_id").alias("id"), F.xxhash64("digest").alias("mark")), "misses")
     chosen = bounded_broadcast(misses, misses.count(), BROADCAST_ROWS)
     texts = docs.select("doc_id", "text", digest).join(chosen, (F.xxhash64("digest") == F.col("mark")) & F.expr("doc_id <=> id"), "left_semi")
@@ -179,8 +188,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
         for batch in batches:
             yield pd.DataFrame({"version": mark, "digest": batch["digest"], "n_tokens": [len(known.encode(t)) // 4 for t in batch["text"]]})
 
-    texts.select("digest", "text").mapInPandas(tidy(run), schema).write.mode("append").parquet(cache)
-    counts = spark.read.schema(schema).parquet(cache).where(F.col("version") == mark).dropDuplicates(["digest"]).select("digest", "n_tokens")
+    texts.select("digest", "text").mapInPandas(tidy(run), schema).write.mode("append").parquet(own)
+    counts = counted().dropDuplicates(["digest"]).select("digest", "n_tokens")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
