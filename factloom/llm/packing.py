@@ -134,6 +134,6 @@ def unpack(packed: DataFrame, wide: bool = False) -> DataFrame:
     return whole.select("doc_id", "n_tokens", F.unhex(F.array_join(F.transform("parts", lambda p: p["part"]), "")).alias("ids"))
 
 
-def write(docs: DataFrame, path: str, to: str, width: int = 2048) -> None:
-    """Write the packed rows as Parquet."""
-    pack(docs, path, width).write.mode("overwrite").parquet(to)
+def write(docs: DataFrame, path: str, to: str, width: int = 2048, pad: int = 0, overwrite: bool = False) -> None:
+    """Write the packed rows as Parquet, with `pad` behind the tokens of a row; a folder that is there is only replaced with `overwrite`."""
+    pack(docs, path, width, pad=pad).write.mode("overwrite" if overwrite else "errorifexists").parquet(to)

@@ -59,3 +59,14 @@ def test_nulls_repeats_and_no_rows(spark):
     held = sorted((d for r in packing.pack(df, PATH).collect() for d in r.doc_ids), key=str)
     assert held == [1, 1, 2, None]
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_written_rows_are_padded_and_not_replaced_unasked(spark, tmp_path):
+    df, to = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string"), str(tmp_path / "packed")
+    packing.write(df, PATH, to, width=16, pad=7)
+    rows = spark.read.parquet(to).collect()
+    assert all((np.frombuffer(r.ids, "<u2")[r.n_tokens :] == 7).all() and r.n_tokens < 16 for r in rows)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        packing.write(df, PATH, to)
+    packing.write(df.limit(1), PATH, to, overwrite=True)
+    assert sum(len(r.doc_ids) for r in spark.read.parquet(to).collect()) == 1
