@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontaminate, fill_middle, fingerprints, licenses, near_dedup, packing, quality, secrets, spelling, sql, substring_dedup, tokens, toxicity
-from factloom.llm.common import table
+from factloom.llm.common import shared_path, table
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # a cache of its own: with the vocabulary's shared one a second run over the same texts encodes nothing, and its figures say nothing
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
 
 
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
