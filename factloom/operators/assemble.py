@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
+from factloom.operators import evidence as proof
 from factloom.operators import graph, rules
 
 EVIDENCE = "array<struct<path:string,line:int,snippet:string>>"
@@ -79,6 +80,7 @@ def _entity(rows: DataFrame, part: int, kind: str, name: Column, sure: Column |
         F.concat(F.lit(f"{kind}:"), name).alias("ref"), F.lit(kind).alias("kind"), name.alias("name"), *map(text_of, ("description", "type", "owner", "system", "domain", "lifecycle", "host")),
         F.lit(fields.get("external", False)).cast("boolean").alias("external"), *map(list_of, _LISTS),
         (F.lit(sure) if isinstance(sure, str) else sure).alias("confidence"), _order(part, fields.get("at", F.lit(0))),
+        F.coalesce(fields.get("evidence", F.lit(None).cast(EVIDENCE)), F.array().cast(EVIDENCE)).alias("evidence"),
     )
 
 
@@ -87,7 +89,7 @@ def _exploded(docs: DataFrame, category: str) -> DataFrame:
 
 
 def entity_facts(docs: DataFrame) -> DataFrame:
-    """(ref, kind, name, ..., confidence, ord) of every component, system, domain, group, provider, API and resource that a document names."""
+    """(ref, kind, name, ..., confidence, ord, evidence) of every component, system, domain, group, provider, API and resource that a document names."""
     docs = _documents(docs)
     units, repo = _units(docs), F.array("repo_id")
     said = F.array("repo.summary.primary_language", "repo.summary.runtime")
@@ -96,17 +98,17 @@ def entity_facts(docs: DataFrame) -> DataFrame:
     parts = [
         _entity(units, 0, "Component", F.col("name"), "high", description=F.coalesce(F.nullif("c.notes", F.lit("")), "about"), type=given("c.type", "service"), owner=owner, system=F.col("system"),
                 domain=F.col("domain"), lifecycle=F.coalesce(_given(F.col("c.lifecycle")), _given(F.col("repo.lifecycle")), F.lit("unknown")), tags=F.concat(said, _strings(F.col("c.tags"))),
-                aliases=F.col("c.aliases"), source_repos=repo, at=F.col("at")),
+                aliases=F.col("c.aliases"), source_repos=repo, at=F.col("at"), evidence=F.col("c.evidence")),
         _entity(docs.where("system is not null"), 1, "System", text.canonical_name("system"), "medium", owner=owner),
         _entity(docs.where("system is not null and domain is not null"), 2, "Domain", text.canonical_name("domain"), "medium", owner=owner,
                 aliases=F.when(F.trim("repo.domain") != F.col("domain"), F.array(F.trim("repo.domain")))),
         _entity(docs.where("owner is not null"), 3, "Group", text.canonical_name("owner"), "medium", type=F.lit("team")),
         _entity(_exploded(docs, "providers").where("x.name <> ''"), 4, "Provider", text.canonical_name("x.name"), "high", description=F.col("x.description"), type=F.lit("provider"),
-                owner=F.lit("external"), lifecycle=F.lit("production"), external=True, aliases=F.col("x.aliases"), source_repos=repo, at=F.col("at")),
+                owner=F.lit("external"), lifecycle=F.lit("production"), external=True, aliases=F.col("x.aliases"), source_repos=repo, at=F.col("at"), evidence=F.col("x.evidence")),
         _entity(_exploded(docs, "apis"), 5, "API", text.canonical_name(given("x.name", "unknown-api")), "high", description=F.col("x.notes"), type=given("x.type", "rest"), owner=F.lit("unknown"),
-                lifecycle=F.lit("unknown"), aliases=F.col("x.aliases"), source_repos=repo, at=F.col("at")),
+                lifecycle=F.lit("unknown"), aliases=F.col("x.aliases"), source_repos=repo, at=F.col("at"), evidence=F.col("x.evidence")),
         _entity(_exploded(docs, "resources"), 6, "Resource", _resource(), given("x.confidence", "medium"), description=F.col("x.notes"), type=given("x.type", "unknown"), owner=F.lit("unknown"),
-                host=F.col("x.host_or_instance"), aliases=F.col("x.aliases"), source_repos=repo, at=F.col("at"),
+                host=F.col("x.host_or_instance"), aliases=F.col("x.aliases"), source_repos=repo, at=F.col("at"), evidence=F.col("x.evidence"),
                 keys=F.concat(_strings(F.col("x.env_or_config_keys")), F.array("x.datasource_url", "x.host_or_instance"))),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -119,11 +121,12 @@ def _resource() -> Column:
 def _edge(rows: DataFrame, src: Column, kind: Column | str, dst: Column, sure: Column | str, via: str, evidence: Column | None = None) -> DataFrame:
     lit = lambda v: F.lit(v) if isinstance(v, str) else v
     shown = F.lit(None).cast(EVIDENCE) if evidence is None else evidence
-    return rows.select(src.alias("src"), lit(kind).alias("type"), dst.alias("dst"), lit(sure).alias("confidence"), F.lit(via).alias("via"), F.coalesce(shown, F.array().cast(EVIDENCE)).alias("evidence"))
+    order = _order(0, F.col("at") if "at" in rows.columns else F.lit(0))
+    return rows.select(src.alias("src"), lit(kind).alias("type"), dst.alias("dst"), lit(sure).alias("confidence"), F.lit(via).alias("via"), F.coalesce(shown, F.array().cast(EVIDENCE)).alias("evidence"), order)
 
 
 def relation_facts(docs: DataFrame) -> DataFrame:
-    """(src, type, dst, confidence, via, evidence) that documents state outright; dependencies on labels are in `deferred`."""
+    """(src, type, dst, confidence, via, evidence, ord) that documents state outright; dependencies on labels are in `deferred`."""
     docs = _documents(docs)
     units = _units(docs)
     to = lambda kind, name: F.concat(F.lit(f"{kind}:"), name)
@@ -207,20 +210,19 @@ def resolve_deferred(wanted: DataFrame, entities: DataFrame) -> tuple[DataFrame,
         held.withColumn("dst", F.col("placeholder")).withColumn("theirs", F.when(component, "medium").otherwise("review")).drop("first_kind", "key", "placeholder"), allowMissingColumns=True
     )
     sure = rules.dependency_confidence(F.col("own"), F.col("theirs"), F.col("told"), F.col("kind"), F.col("protocol"), F.col("dynamic"))
-    return facts, met.select("src", "type", "dst", sure.alias("confidence"), F.lit("").alias("via"), "evidence")
+    return facts, met.select("src", "type", "dst", sure.alias("confidence"), F.lit("").alias("via"), "evidence", "ord")
 
 
 def merge_edges(facts: DataFrame) -> DataFrame:
-    """(src, type, dst, n_evidence, confidence, via): edges with evidence distinct by path and line, and their highest confidence."""
-    places = F.flatten(F.collect_set(F.transform("evidence", lambda e: F.struct(e["path"].alias("path"), e["line"].alias("line")))))
-    return facts.groupBy("src", "type", "dst").agg(
-        F.size(F.array_distinct(places)).cast("long").alias("n_evidence"), confidence.from_rank(F.max(confidence.build_rank(F.col("confidence")))).alias("confidence"),
-        F.max("via").alias("via"),
-    )
+    """(src, type, dst, confidence, via, n_evidence, evidence, evidence_file): edges with their first evidence, distinct by path and line, and their highest confidence."""
+    keys = ["src", "type", "dst"]
+    edges = facts.groupBy(*keys).agg(confidence.from_rank(F.max(confidence.build_rank(F.col("confidence")))).alias("confidence"), F.max("via").alias("via"))
+    return proof.with_evidence(edges, facts, keys)
 
 
 def catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of a corpus of extraction documents.  What later steps read again is checkpointed, so documents are parsed three times in all."""
     named = graph.cut(entity_facts(docs))
     placeholders, found = resolve_deferred(graph.cut(deferred(docs)), upsert(named))
-    return upsert(named.unionByName(placeholders)), merge_edges(relation_facts(docs).unionByName(found))
+    every = named.unionByName(placeholders, allowMissingColumns=True)
+    return proof.with_evidence(upsert(every), every, ["ref"]), merge_edges(relation_facts(docs).unionByName(found))
