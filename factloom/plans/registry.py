@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from factloom.plans import assembly, audits, catalog, decided, discovery, evidence, flows, graphs, logs, passes, rules, streams, traces  # noqa: F401
+    from factloom.plans import assembly, audits, catalog, decided, discovery, enrichment, evidence, flows, graphs, logs, passes, rules, streams, traces  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
