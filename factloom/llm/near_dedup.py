@@ -105,9 +105,9 @@ def _agreeing(regs: np.ndarray, left: np.ndarray, right: np.ndarray, least: floa
 
 
 def _root(parent: dict, x: int) -> int:
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
+    while (up := parent.setdefault(x, x)) != x:
+        parent[x] = parent.setdefault(up, up)  # a label may be a node that isn't here
+        x = up
     return x
 
 

@@ -87,6 +87,15 @@ def test_registers_merge_and_estimate():
     assert abs(est - 0.5) < 0.1
 
 
+def test_labels_of_nodes_that_are_elsewhere():
+    parent = {5: 3, 6: 3, 7: 2}
+    assert [nd._root(parent, x) for x in (5, 6, 7, 8)] == [3, 3, 2, 8]
+    parent[nd._root(parent, 5)] = nd._root(parent, 7)
+    assert {nd._root(parent, x) for x in (5, 6, 7, 3)} == {2}
+    chain = {k: k + 1 for k in range(9)}
+    assert {nd._root(chain, k) for k in (0, 4, 2, 1, 0, 8)} == {9}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.node: r.label for r in components(edges).collect()} == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
