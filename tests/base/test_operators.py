@@ -2,7 +2,7 @@ import random
 
 from factloom.functions import confidence, text
 from factloom.operators import derive, graph, merge, verify
-from factloom.plans import registry
+from factloom.plans import binding, registry
 from factloom.streaming import folds
 from pyspark.sql import functions as F
 
@@ -88,3 +88,19 @@ def test_tag_inventory_holds_five_parts_of_a_tag(spark, tmp_path):
     out = registry.queries()["tag_inventory"](spark, str(tmp_path))
     assert {r.tag: (r.n, r.brands, r.samples) for r in out.collect()} == {"BIG": (2000, "b0,b1", "1,2,4,5,7"), None: (1000, "b0,b1", "0,3,6,9,12"), "ONE": (1, "b9", "9000")}
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_are_dealt_by_relation_before_they_merge(spark, monkeypatch):
+    monkeypatch.setattr(binding, "PART_ROWS", 1000)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert binding.facts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == rows // 1000 + 1
+
+
+def test_levels_read_edges_that_are_written_once(spark, monkeypatch):
+    kept, calls = graph.kept, []
+    monkeypatch.setattr(graph, "kept", lambda df: (calls.append(1), kept(df))[1])
+    edges = spark.createDataFrame([("a", "t", "b", "high"), ("b", "t", "c", "high"), ("c", "t", "d", "high")], "src string, type string, dst string, confidence string")
+    start = spark.createDataFrame([("a",)], "ref string")
+    assert {(r.src, r.way, r.depth) for r in graph.neighbors(edges, start, "both", 2).collect()} == {("a", "out", 1), ("a", "in", 2), ("b", "out", 2)}
+    assert {r.path for r in graph.trace(edges, start, 2).collect()} == {"a>b", "a>b>c"}
+    assert len(calls) == 2
