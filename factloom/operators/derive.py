@@ -13,14 +13,17 @@ from factloom.functions import confidence
 
 
 def _flow(left: DataFrame, right: DataFrame, via: str, mechanism: str) -> DataFrame:
-    rank = F.least(confidence.build_rank(F.col("l_conf")), confidence.build_rank(F.col("r_conf")))
-    a = left.select(F.col("src"), F.col(via), F.col("confidence").alias("l_conf"), F.col("n_evidence").alias("l_n"))
-    b = right.select(F.col("src").alias("dst"), F.col(via), F.col("confidence").alias("r_conf"), F.col("n_evidence").alias("r_n"))
-    flows = a.join(b, via).where("src <> dst")
+    def side(rows: DataFrame, end: str, s: str) -> DataFrame:
+        """A row for each end and endpoint, so that a pair meets once on an endpoint and no endpoints have to be told apart after the join."""
+        return rows.groupBy(F.col("src").alias(end), via).agg(
+            F.min(confidence.build_rank(F.col("confidence"))).alias(f"{s}_rank"), F.sum("n_evidence").alias(f"{s}_sum"), F.count("n_evidence").alias(f"{s}_n")
+        )
+
+    flows = side(left, "src", "l").join(side(right, "dst", "r"), via).where("src <> dst")
     return flows.groupBy("src", "dst").agg(
-        F.count_distinct(via).alias("n_via"),
-        F.sum(F.col("l_n") + F.col("r_n")).alias("n_evidence"),
-        confidence.from_rank(F.min(rank)).alias("confidence"),
+        F.count("*").alias("n_via"),
+        F.sum(F.col("l_sum") * F.col("r_n") + F.col("r_sum") * F.col("l_n")).alias("n_evidence"),
+        confidence.from_rank(F.min(F.least("l_rank", "r_rank"))).alias("confidence"),
     ).withColumn("mechanism", F.lit(mechanism))
 
 
