@@ -91,3 +91,22 @@ def test_tail_of_a_run(spark, chars):
     rows = [(f"r{k % 3}", k, "é" * rng.choice((1, 2, 30, 90))) for k in range(300)]
     want = {run: "".join(line + "\n" for r, _, line in rows if r == run)[-chars:] for run in ("r0", "r1", "r2")}
     assert {r.run: r.tail for r in states.output_tail(spark.createDataFrame(rows, "run string, ord long, line string"), chars).collect()} == want
+
+
+def test_rows_of_a_large_key_are_held_compactly():
+    import random
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    rng, n = random.Random(4), 50_000
+    shape = Row("at", "ord", "event", "status", "returncode", "cost")
+    made = lambda: (shape(10**9 + rng.randrange(n // 2), k, "".join(["e", str(k % 3)]), None if k % 2 else "ok", k % 5 or None, None if k % 3 else k / 7) for k in range(n))
+    rng.seed(4)
+    want = [(r.at, r.ord, r.cost, r.event, r.status, r.returncode) for r in sorted(made(), key=lambda r: (r.at, r.ord))]
+    rng.seed(4)
+    tracemalloc.start()
+    same = all(x == y for x, y in zip(states._in_order(made(), "event", "status", "returncode"), want, strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert same and peak < 150 * n
