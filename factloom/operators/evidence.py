@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import merge
+from factloom.operators.graph import kept
 
 # Evidence that a merged fact keeps, that a queue and an embedding text show, and how many characters of each there; properties that are united.
 KEPT, QUEUED, EMBEDDED, EMBEDDED_CHARS = 8, 5, 6, 200
@@ -23,14 +24,16 @@ def first_places(facts: DataFrame, keys: list[str], most: int = KEPT) -> DataFra
     n_evidence counts all of it, evidence holds the first `most`, evidence_file is the first path.  Keys without evidence have no row."""
     items = facts.select(*keys, "ord", F.posexplode("evidence").alias("k", "e")).where("e is not null")
     by = F.struct("ord", "k", F.col("e.snippet").alias("snippet"))
-    one = items.groupBy(*keys, F.col("e.path").alias("path"), F.col("e.line").alias("line")).agg(F.min(by).alias("by"))
-    spread = one.select(*keys, F.struct("by", "path", "line").alias("p"), F.pmod(F.xxhash64("path", "line"), F.lit(16)).alias("salt"))
-    rank = lambda *parts: F.row_number().over(Window.partitionBy(*keys, *parts).orderBy("p"))
-    firsts = spread.withColumn("n", rank("salt")).where(F.col("n") <= most).withColumn("n", rank()).where(F.col("n") <= most)
-    shown = F.transform(F.array_sort(F.collect_list("p")), lambda p: F.struct(p["path"].alias("path"), p["line"].alias("line"), p["by"]["snippet"].alias("snippet")))
-    listed = firsts.groupBy(*keys).agg(shown.alias("evidence"))
-    counts = spread.groupBy(*keys).agg(F.count("*").alias("n_evidence"))
-    return counts.join(listed, keys).withColumn("evidence_file", F.get("evidence", F.lit(0))["path"])
+    # one shuffle by key and part: equal places meet in it, and the parts' first places and counts are told from it
+    items = items.withColumn("salt", F.pmod(F.xxhash64("e.path", "e.line"), F.lit(16))).repartition(*keys, "salt")
+    one = items.groupBy(*keys, "salt", F.col("e.path").alias("path"), F.col("e.line").alias("line")).agg(F.min(by).alias("by"))
+    of = lambda *parts: Window.partitionBy(*keys, *parts)
+    rank = lambda *parts: F.row_number().over(of(*parts).orderBy("p"))
+    spread = one.select(*keys, "salt", F.struct("by", "path", "line").alias("p")).withColumns({"k": rank("salt"), "of_part": F.count("*").over(of("salt"))})
+    firsts = spread.where(F.col("k") <= most).withColumn("n", rank())
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.col("p")))), lambda p: F.struct(p["path"].alias("path"), p["line"].alias("line"), p["by"]["snippet"].alias("snippet")))
+    listed = firsts.groupBy(*keys).agg(F.sum(F.when(F.col("k") == 1, F.col("of_part"))).alias("n_evidence"), shown.alias("evidence"))
+    return listed.withColumn("evidence_file", F.get("evidence", F.lit(0))["path"])
 
 
 def with_evidence(merged: DataFrame, facts: DataFrame, keys: list[str], most: int = KEPT) -> DataFrame:
@@ -68,6 +71,8 @@ def merged_properties(facts: DataFrame, keys: list[str], united_names: tuple[str
 def merge_relations(facts: DataFrame, most: int = KEPT) -> DataFrame:
     """One row per (src, type, dst) of facts (src, type, dst, ord, confidence, evidence, properties): evidence, merged properties, the highest confidence (null where none is given)."""
     keys = ["src", "type", "dst"]
+    # facts are read three times and worked out once
+    facts = kept(facts.select(*keys, "ord", "confidence", "evidence", "properties"))
     edges = facts.groupBy(*keys).agg(merge.highest(F.col("confidence")).alias("confidence"))
     out = with_evidence(edges, facts, keys, most).join(merged_properties(facts, keys), keys, "left")
     return out.withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,array<string>>")))
