@@ -78,3 +78,9 @@ def test_assembled_facts_carry_their_evidence(spark):
     assert [e.line for e in jobs.evidence] == [0, 1, 2, 3, 10, 11, 12, 13]
     edge = relations.where("src = 'Component:r4' and dst = 'Resource:jobs'").first()
     assert ([e.line for e in edge.evidence], edge.n_evidence, edge.evidence_file) == ([4, 5, 6], 3, "a.py")
+
+
+def test_places_take_two_shuffles(spark):
+    facts = spark.createDataFrame([], EDGE)
+    plan = evidence.first_places(facts, ["src", "type", "dst"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
