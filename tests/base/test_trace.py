@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -93,3 +94,18 @@ def test_starts_and_ends_by_name_or_search(spark):
     assert trace.resolved(known, "unheard of") is None and trace.resolved(known, "unheard of", found.limit(0)) is None
     assert trace.resolved_end(known, "mail") == "provider:2"
     assert [trace.resolved_end(known, e) for e in ("kind:Provider", "resource:9", "nothing", None)] == ["kind:Provider", "resource:9", "nothing", None]
+
+
+def test_facts_meet_their_orders_in_as_many_parts_as_they_have(spark, tmp_path, monkeypatch):
+    """Beyond a shuffle's partitions the join has a bounded share of the lines too; all facts are there either way."""
+    from factloom.plans import binding
+
+    lines = "id div 3 as l_orderkey, id % 7 as l_partkey, id % 5 as l_suppkey, cast(id % 3 + 1 as int) as l_linenumber, 'R' as l_returnflag, 'O' as l_linestatus"
+    spark.range(900).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("id as o_orderkey", "id as o_custkey", "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    few = binding.facts(spark, str(tmp_path))
+    monkeypatch.setattr(binding, "PART_ROWS", 100)
+    many = binding.facts(spark, str(tmp_path))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert [re.search(rf"hashpartitioning\({c}#\d+L, 10\)", plan) is not None for c in ("l_orderkey", "o_orderkey")] == [True, True]
+    assert few.count() == 900 and sorted(few.collect()) == sorted(many.collect())
