@@ -90,3 +90,34 @@ def test_evidence_equals_a_search_file_by_file(spark, seed):
     got = {r.id: (r.status, r.detail) for r in audit.evidence_status(frame, audit.evidence_counts(frame, sources)).collect()}
     assert got == {k: judged(e, [r for r in repos or []], files) for k, repos, e in facts}
     assert {s for s, _ in got.values()} == {"matched", "partial", "unmatched", "missing_paths", "missing"}
+
+
+def test_relations_are_dealt_out_by_their_evidence_alone(spark):
+    """What is told of their ends comes to them; their evidence itself, and those without any, stay where they are."""
+    entities = spark.createDataFrame([("Component", f"c{k}", False, ["r"], None, k) for k in range(20)] + [("Resource", "c3", None, ["r"], None, 21)], ENTITY)
+    edges = spark.createDataFrame([(f"Component:c{k % 25}", "readsResource", ("Component:c3", "Resource:c3", "Resource:gone")[k % 3], None, ["r"], cite(("a.py", "x")) if k % 2 else [], k) for k in range(200)], RELATION)
+    counts = audit.evidence_counts(edges, spark.createDataFrame([("r/a.py", "x", "en")], FILE))
+    found = audit.audit_relations(edges, entities, counts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange hashpartitioning(evidence_key") == 2
+    fixes = found.groupBy("recommended_fix").count().collect()
+    of = lambda *remainders: sum(k % 25 < 20 and (k % 3, k % 2) in remainders for k in range(200))
+    assert {r[0]: r[1] for r in fixes if "endpoint" not in r[0]} == {
+        "target-kind-mismatch: readsResource target is Component, expected Resource": of((0, 0), (0, 1)), audit.PASSED: of((1, 1)), "missing-evidence: no cited evidence": of((1, 0)),
+    }
+
+
+@pytest.mark.parametrize("limit", [0, 4])
+def test_many_ends_with_something_to_tell(spark, monkeypatch, limit):
+    """Ends looked up in parts give what they give when all of them are broadcast; a third of the relations share one of them, and entities of other kinds ask for no name."""
+    rng = random.Random(limit)
+    names = [f"n{k}" for k in range(12)]
+    entities = [(rng.choice(["Component", "Resource", "Provider", "API", "System"]), rng.choice([*names, None, ""]), rng.choice([True, False, None]), rng.choice([["r"], [], None]), cite(("a.py", "x")) if rng.random() < 0.5 else None, k) for k in range(60)]
+    ends = [f"{kind}:{n}" for kind in ("Component", "Resource", "System", "") for n in names] + ["bare", None]
+    edges = [(rng.choice(ends), rng.choice(["readsResource", "partOf", "consumesApi"]), "Component:n1" if k % 3 == 0 else rng.choice(ends), rng.choice([None, "Resource"]), rng.choice([["r"], []]), cite(("gone", "x")) if k % 2 else None, k) for k in range(300)]
+    frames = spark.createDataFrame(entities, ENTITY), spark.createDataFrame(edges, RELATION), spark.createDataFrame([("r/a.py", "x", "en")], FILE)
+    rows = lambda: sorted(map(tuple, audit.audit(*frames).collect()))
+    want = rows()
+    monkeypatch.setattr(audit, "BROADCAST_ROWS", limit)
+    assert rows() == want
+    assert {r[7].split(":")[0] for r in want} >= {"wrong-kind-duplicate", "missing-endpoint", "wrong-kind-target"}
