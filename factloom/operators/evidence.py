@@ -6,7 +6,7 @@ part of a fact's evidence only the first places go on, so no row grows with the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import merge
@@ -16,6 +16,8 @@ from factloom.operators.graph import kept
 KEPT, QUEUED, EMBEDDED, EMBEDDED_CHARS = 8, 5, 6, 200
 UNITED = ("aliases", "endpoints", "transports", "mechanisms", "via_edges")
 EVIDENCE = "array<struct<path:string,line:int,snippet:string>>"
+#: Hashes by which the facts of edges are counted, facts of one beyond which its edges are spread, and facts of a part of the others, on average.
+HASHES, HOT, PART_ROWS = 262_144, 5_000, 200_000
 
 
 def first_places(facts: DataFrame, keys: list[str], most: int = KEPT) -> DataFrame:
@@ -68,16 +70,71 @@ def merged_properties(facts: DataFrame, keys: list[str], united_names: tuple[str
     return together.unionByName(firsts).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"))
 
 
-def merge_relations(facts: DataFrame, most: int = KEPT) -> DataFrame:
-    """One row per (src, type, dst) of facts (src, type, dst, ord, confidence, evidence, properties): evidence, merged properties, the highest confidence (null where none is given)."""
-    keys = ["src", "type", "dst"]
-    # facts are read three times and worked out once
-    facts = kept(facts.select(*keys, "ord", "confidence", "evidence", "properties"))
+def parts(spark: SparkSession, facts: int) -> int:
+    """Into how many parts so many facts are dealt out: a shuffle's own number, or more, so that the writer of a shuffle and a task behind it hold about PART_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), facts // PART_ROWS + 1)
+
+
+def _dealt(facts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Facts of keys that are bounded, all of a key in one of several parts, and those whose keys may have more than HOT; none without any.
+
+    Facts are counted by a hash of their key, of which there are few: a busy one takes keys along that have few facts themselves."""
+    facts = facts.withColumn("_of", F.pmod(F.xxhash64(*keys), F.lit(HASHES)).cast("int"))
+    sizes = kept(facts.groupBy("_of").agg(F.count("*").alias("size")))
+    n = parts(facts.sparkSession, sizes.agg(F.sum("size")).first()[0] or 0)
+    hot = F.broadcast(sizes.where(F.col("size") > HOT).select("_of"))
+    part = lambda how: facts.join(hot, "_of", how).drop("_of")
+    if hot.isEmpty():
+        return facts.drop("_of").repartition(n, *keys), None
+    # they are read several times
+    return part("left_anti").repartition(n, *keys), kept(part("left_semi"))
+
+
+def _once(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """`rows` with the columns `keep` and new ones; an explode keeps these columns of their own, that no later step works out again."""
+    new = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.select(*keep, F.explode(F.array(new)).alias("_new")).select(*keep, "_new.*")
+
+
+def _folded(facts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """What `_merged` makes, of facts that are dealt out by their keys: a key's are listed, so that they need no other shuffle."""
+    places = F.transform("evidence", lambda e, k: F.when(e.isNotNull(), F.struct(F.col("ord").alias("ord"), k.alias("k"), e["snippet"].alias("snippet"), e["path"].alias("path"), e["line"].alias("line"))))
+    said = F.transform(F.map_entries("properties"), lambda p: F.struct(p["key"].alias("name"), F.col("ord").alias("ord"), p["value"].alias("values")))
+    rows = facts.select(*keys, "confidence", places.alias("places"), said.alias("said"))
+    listed = rows.groupBy(*keys).agg(merge.highest(F.col("confidence")).alias("confidence"), F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("said")).alias("said"))
+    rows = _once(listed, *keys, "confidence", "said", places=F.sort_array(F.array_compact("places")))
+    # a place as one text, a null apart from any other: equal texts are found by hash
+    at = lambda p: F.concat(F.coalesce(p["line"].cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.concat(F.lit("p"), p["path"]), F.lit("")))
+    rows = _once(rows, *keys, "confidence", "said", "places", at=F.transform("places", at))
+    rows = _once(rows, *keys, "confidence", "said", "places", "at", different=F.array_distinct("at"))
+    first = F.transform(F.slice("different", 1, most), lambda a: F.get("places", (F.array_position("at", a) - 1).cast("int")))
+    shown = F.transform(first, lambda p: F.struct(p["path"].alias("path"), p["line"].alias("line"), p["snippet"].alias("snippet")))
+    of = lambda n: F.filter("said", lambda s: s["name"] == n)
+    together = lambda n: F.sort_array(F.array_distinct(F.array_compact(F.flatten(F.transform(F.filter(of(n), lambda s: s["values"].isNotNull()), lambda s: s["values"])))))
+    earliest = lambda n: F.array_min(F.transform(of(n), lambda s: F.struct(s["ord"].alias("ord"), s["values"].alias("values"))))["values"]
+    names = F.sort_array(F.array_distinct(F.transform("said", lambda s: s["name"])))
+    properties = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.when(n.isin(*UNITED), together(n)).otherwise(earliest(n)))))
+    rows = _once(rows, *keys, "confidence", "different", evidence=shown, properties=properties)
+    return rows.select(*keys, "confidence", F.size("different").cast("long").alias("n_evidence"), "evidence", F.get("evidence", F.lit(0))["path"].alias("evidence_file"), "properties")
+
+
+def _merged(facts: DataFrame, keys: list[str], most: int) -> DataFrame:
     edges = facts.groupBy(*keys).agg(merge.highest(F.col("confidence")).alias("confidence"))
     out = with_evidence(edges, facts, keys, most).join(merged_properties(facts, keys), keys, "left")
     return out.withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,array<string>>")))
 
 
+def merge_relations(facts: DataFrame, most: int = KEPT) -> DataFrame:
+    """One row per (src, type, dst) of facts (src, type, dst, ord, confidence, evidence, properties): evidence, merged properties, the highest confidence (null where none is given).
+
+    Most edges have few facts, which meet in one shuffle; those of busy ones are spread.  Facts are counted first, and not written in between: tasks that read
+    files take so many that the shuffle's writer spills all of them."""
+    keys = ["src", "type", "dst"]
+    few, busy = _dealt(facts.select(*keys, "ord", "confidence", "evidence", "properties"), keys)
+    out = _folded(few, keys, most)
+    return out if busy is None else out.unionByName(_merged(busy, keys, most))
+
+
 def merge_entities(facts: DataFrame, most: int = KEPT) -> DataFrame:
     """One row per ref of facts (ref, ord, kind, title, description, tags, aliases, source_repos, attributes, glossary, confidence, evidence).
 

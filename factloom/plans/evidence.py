@@ -39,7 +39,9 @@ props AS (SELECT src, type, dst, array_to_string(list_sort(list_distinct(flatten
 SELECT src, type, dst, aliases, transports, operation, n_evidence, evidence, evidence_file, confidence FROM sure JOIN proof USING (src, type, dst) LEFT JOIN props USING (src, type, dst)""")
 def relation_evidence(spark, sf_dir):
     properties = "map(" + ", ".join(f"'{n}', array({', '.join(v)})" for n, v in _PROPERTIES.items()) + ")"
-    facts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey")).select(
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    parts = evidence.parts(spark, lines.count())
+    facts = lines.repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.expr("l_orderkey = o_orderkey")).select(
         *(F.expr(x).alias(c) for c, x in _EDGE.items()), F.expr(_cites(*_CITED)).alias("evidence"), F.expr(f"CASE WHEN l_linenumber > 1 THEN {properties} END").alias("properties"))
     of = lambda n: F.array_join(F.col("properties")[n], ",").alias(n)
     return _shown(evidence.merge_relations(facts), "src", "type", "dst", *map(of, _PROPERTIES))

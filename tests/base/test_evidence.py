@@ -84,3 +84,35 @@ def test_places_take_two_shuffles(spark):
     facts = spark.createDataFrame([], EDGE)
     plan = evidence.first_places(facts, ["src", "type", "dst"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def _facts(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        edge = ("Component:a", "dependsOn", "Resource:hot") if k % 3 == 0 else (f"Component:{rng.randrange(9)}", "dependsOn", f"Resource:{rng.randrange(9)}")
+        # equal orders, so that ties are told by what follows
+        cited = rng.choice([None, [], [None]]) if rng.random() < 0.2 else [(rng.choice(["f", "", None, "-", "1:p"]), rng.choice([None, *range(-3, 6)]), rng.choice([None, *"xyz"])) for _ in range(rng.randint(1, 4))]
+        properties = {name: rng.choice([None, [], [None, "b"], [rng.choice("abc")]]) for name in rng.sample(["aliases", "transports", "note", "operation"], rng.randint(0, 4))}
+        rows.append((*edge, k // 2, rng.choice([None, "odd", *RANK]), cited, properties if rng.random() < 0.9 else None, k))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [0, 200])
+def test_busy_edges_and_others_are_merged_alike(spark, monkeypatch, hot):
+    """All edges spread, or one, come to what edges in one place do."""
+    facts = spark.createDataFrame(_facts(700, hot), EDGE)
+    rows = lambda found: {r[:3]: r for r in found.select("src", "type", "dst", *sorted(found.columns)).collect()}
+    want = rows(evidence.merge_relations(facts))
+    monkeypatch.setattr(evidence, "HOT", hot)
+    assert (busy := evidence._dealt(facts, ["src", "type", "dst"])[1]) is not None and (busy.count() < 700) == (hot > 0)
+    assert rows(evidence.merge_relations(facts)) == want
+    assert len(want) > 50 and max(r.n_evidence for r in want.values()) > evidence.KEPT
+
+
+def test_facts_of_edges_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "PART_ROWS", 50)
+    found = evidence.merge_relations(spark.createDataFrame(_facts(200, 1), EDGE))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(src" in plan
+    assert ", 5), REPARTITION_BY_NUM" in plan
